@@ -57,3 +57,29 @@ def running_totals(df: DataFrame, key: str, sums: dict[str, str], width: int = 4
     upto = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumns({f"_in_{t}": F.sum(c).over(upto) for t, c in sums.items()}).join(offsets, "_block")
     return out.withColumns({t: F.col(f"_in_{t}") + F.col(f"_off_{t}") for t in sums}).drop("_block", *[f"_in_{t}" for t in sums], *[f"_off_{t}" for t in sums])
+
+
+def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    """(id, component) of every node of an undirected edge table; ``component`` is the least id that a node can reach.
+
+    Labels take the least label among neighbours and then that label's own label, which halves path lengths, until
+    nothing changes. Each round is cut off, so that a lost executor costs one round.
+    """
+    both = cut(edges.select(F.col(u).alias("id"), F.col(v).alias("to")).union(edges.select(F.col(v), F.col(u))).where("id <> to").distinct())
+    labels = cut(both.groupBy("id").agg(F.min("to").alias("_near")).select("id", F.least("id", "_near").alias("component")))
+    while True:
+        near = both.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("component").alias("_near"))
+        closer = labels.join(near, "id").select("id", "component", F.least("component", "_near").alias("_new"))
+        jump = labels.select(F.col("id").alias("_new"), F.col("component").alias("_jump"))
+        labels = cut(closer.join(jump, "_new").select("id", F.least("_new", "_jump").alias("component"), (F.least("_new", "_jump") != F.col("component")).alias("_changed")))
+        if labels.where("_changed").isEmpty():
+            return labels.select("id", "component")
+
+
+#: Ids that a broadcast may hold; more are joined by a shuffle.
+BROADCAST_ROWS = 4_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A cut table of ids, marked for broadcast if it has no more than ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

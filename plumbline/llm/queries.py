@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, token_counts, token_output
+from . import decontaminate, near_dup, secrets, token_counts, token_output
 from .common import table
 
 
@@ -18,9 +18,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.coded_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op2_token_counts, op6_token_output)}
-ORACLE_SQL: dict[str, str] = {"op1_secret_scans": secrets.FINDINGS_SQL}
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op2_token_counts, op4_benchmark_decontamination, op6_token_output, op7_simhash_near_dedup)}
+ORACLE_SQL: dict[str, str] = {"op1_secret_scans": secrets.FINDINGS_SQL, "op4_benchmark_decontamination": decontaminate.HITS_SQL}
