@@ -29,7 +29,88 @@ _PIECE = re.compile(
 )
 
 #: (words and link density of the block before, of the block, of the block after, 1 for content).
-LABELLED: tuple[tuple[int, float, int, float, int, float, int], ...] = ()
+LABELLED: tuple[tuple[int, float, int, float, int, float, int], ...] = (
+    # navigation: short and all links, above, within and beside the page
+    (0, 0, 1, 1, 1, 1, 0),
+    (1, 1, 1, 1, 1, 1, 0),
+    (1, 1, 1, 1, 1, 1, 0),
+    (2, 1, 3, 1, 2, 1, 0),
+    (3, 1, 2, 1, 4, 1, 0),
+    (1, 1, 1, 1, 6, 0, 0),
+    (1, 1, 1, 1, 8, 0, 0),
+    (1, 1, 1, 1, 11, 0, 0),
+    (0, 0, 12, 1, 9, 0, 0),
+    (240, 0, 5, 1, 4, 1, 0),
+    (4, 1, 6, 1, 5, 1, 0),
+    (86, 0.02, 14, 0.93, 18, 0, 0),
+    (31, 0, 9, 0.78, 11, 0.82, 0),
+    (9, 0.78, 11, 0.82, 12, 0, 0),
+    (5, 1, 7, 0.86, 0, 0, 0),
+    (120, 0, 40, 0.8, 35, 0.9, 0),
+    # a teaser or an advertisement behind navigation
+    (1, 1, 8, 0, 11, 0, 0),
+    (1, 1, 6, 0, 8, 0, 0),
+    (1, 1, 11, 0, 5, 0, 0),
+    (1, 1, 10, 0, 10, 0, 0),
+    (1, 1, 4, 0, 10, 0, 0),
+    (1, 1, 13, 0, 13, 0, 0),
+    (1, 1, 8, 0, 4, 0, 0),
+    (5, 1, 9, 0, 7, 0, 0),
+    # notices at the foot of a page
+    (22, 0, 11, 0, 0, 0, 0),
+    (3, 0, 13, 0, 0, 0, 0),
+    (9, 0, 12, 0, 0, 0, 0),
+    (25, 0, 13, 0, 0, 0, 0),
+    (28, 0, 15, 0, 0, 0, 0),
+    (92, 0, 7, 0, 0, 0, 0),
+    (12, 0, 9, 0, 0, 0, 0),
+    (4, 0, 8, 0, 0, 0, 0),
+    (64, 0, 18, 0.1, 0, 0, 0),
+    (40, 0, 21, 0, 0, 0, 0),
+    # headlines
+    (8, 0, 11, 0, 17, 0, 1),
+    (6, 0, 8, 0, 12, 0, 1),
+    (11, 0, 5, 0, 5, 0, 1),
+    (10, 0, 10, 0, 14, 0, 1),
+    (4, 0, 10, 0, 114, 0, 1),
+    (13, 0, 13, 0, 31, 0, 1),
+    (8, 0, 4, 0, 4, 0, 1),
+    (0, 0, 6, 0, 88, 0, 1),
+    (57, 0.05, 3, 0, 71, 0, 1),
+    # paragraphs of any length within an article
+    (11, 0, 17, 0, 143, 0, 1),
+    (17, 0, 143, 0, 31, 0, 1),
+    (143, 0, 31, 0, 189, 0, 1),
+    (189, 0, 43, 0, 51, 0, 1),
+    (43, 0, 51, 0, 22, 0, 1),
+    (51, 0, 22, 0, 11, 0, 1),
+    (8, 0, 12, 0, 8, 0, 1),
+    (12, 0, 8, 0, 3, 0, 1),
+    (8, 0, 3, 0, 38, 0, 1),
+    (5, 0, 5, 0, 30, 0, 1),
+    (4, 0, 4, 0, 8, 0, 1),
+    (31, 0, 1, 0, 9, 0, 1),
+    (1, 0, 9, 0, 12, 0, 1),
+    (20, 0, 1, 0, 1, 0, 1),
+    (1, 0, 1, 0, 21, 0, 1),
+    (97, 0, 3, 0, 15, 0, 1),
+    (113, 0, 25, 0, 13, 0, 1),
+    (114, 0, 164, 0, 47, 0, 1),
+    (47, 0, 28, 0, 15, 0, 1),
+    # paragraphs with some links, and long ones where a page begins or ends
+    (64, 0.05, 88, 0.12, 70, 0.2, 1),
+    (70, 0.2, 41, 0.29, 66, 0, 1),
+    (33, 0, 26, 0.31, 58, 0.1, 1),
+    (1, 1, 96, 0.03, 70, 0, 1),
+    (2, 1, 61, 0, 84, 0.08, 1),
+    (6, 1, 130, 0.1, 4, 1, 1),
+    (0, 0, 75, 0, 60, 0, 1),
+    (0, 0, 140, 0.05, 0, 0, 1),
+    (0, 0, 52, 0, 0, 0, 1),
+    (88, 0, 64, 0, 0, 0, 1),
+    (45, 0.1, 110, 0.04, 0, 0, 1),
+    (71, 0, 59, 0.06, 0, 0, 1),
+)
 
 
 def blocks(page: str | None) -> list[tuple[str, int, float]]:

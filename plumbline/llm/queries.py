@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup, packing, quality, secrets, token_counts, token_output
+from . import decontaminate, html_text, near_dup, packing, quality, secrets, sharding, token_counts, token_output, top_k
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.coded_tokens(table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,25 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op2_token_counts, op3_quality_classifier, op4_benchmark_decontamination, op6_token_output, op7_simhash_near_dedup, op8_packing)}
-ORACLE_SQL: dict[str, str] = {"op1_secret_scans": secrets.FINDINGS_SQL, "op4_benchmark_decontamination": decontaminate.HITS_SQL}
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+_OPERATORS = (
+    op1_secret_scans,
+    op2_token_counts,
+    op3_quality_classifier,
+    op4_benchmark_decontamination,
+    op5_html_extraction,
+    op6_token_output,
+    op7_simhash_near_dedup,
+    op8_packing,
+    op9_exact_top_k,
+    op10_sharding,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
+ORACLE_SQL: dict[str, str] = {"op1_secret_scans": secrets.FINDINGS_SQL, "op4_benchmark_decontamination": decontaminate.HITS_SQL, "op9_exact_top_k": top_k.TOP_K_SQL}
