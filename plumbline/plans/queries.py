@@ -1,10 +1,358 @@
-"""The registered queries of the traceability engine, and SQL that gives the same rows."""
+"""The registered queries of the traceability engine over the whole made corpus, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import text as T
+from ..operators import audit, authority, closure, drift, graph, reconcile
+from ..operators import lattice as L
+from .corpus import ORACLE, TEAM, canonical_sql, hash_sql, lattice, nodes, reach_sql, star_edges, table, tickets
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: What the impact queries start from.
+FILE, SECTION = "doc-3", "doc-1#l11"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Text
+
+
+@query(f"select doc_id, {hash_sql('text')} as hash, cast(length({canonical_sql('text')}) as int) as length from documents")
+def canonical_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_hash("text").alias("hash"), F.length(T.canonicalize("text")).alias("length"))
+
+
+@query("select doc_id, cast(greatest(1, len(string_split(text, chr(10))) - case when text = '' or text like '%' || chr(10) then 1 else 0 end) as int) as lines from documents")
+def line_split_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.line_count("text").alias("lines"))
+
+
+@query(
+    r"select page_id, url, case when contains(url, '#') then regexp_extract(url, '^(.*)#([^#]*)$', 1) else url end as file_id, case when contains(url, '#') then regexp_extract(url, '^(.*)#([^#]*)$', 2) end as anchor from pages"
+)
+def parse_ref(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", "url", T.ref_file("url").alias("file_id"), T.ref_anchor("url").alias("anchor"))
+
+
+@query(
+    r"""select doc_id, regexp_matches(text, '[\x00-\x1F\x7F-\x{9F}]') as found,
+    case when regexp_matches(text, '[\x00-\x1F\x7F-\x{9F}]') then cast(length(regexp_extract(text, '(?s)\A(.*?)[\x00-\x1F\x7F-\x{9F}]', 1)) as int) end as first_at,
+    cast(length(regexp_replace(text, '[\x00-\x1F\x7F-\x{9F}]', '', 'g')) as int) as clean_length from documents"""
+)
+def control_char_scan(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.has_control("text").alias("found"), T.first_control("text").alias("first_at"), F.length(T.strip_control("text")).alias("clean_length"))
+
+
+@query(
+    "select id, replace(coalesce(nullif(title, ''), id), '\"', '''') as mermaid, replace(replace(coalesce(nullif(title, ''), id), '\\', '\\\\'), '\"', '\\\"') as dot, list_position(['exploratory', 'derived', 'binding'], authority) - 1 as rank from docs".join(
+        [ORACLE, ""]
+    )
+)
+def node_labels(spark, sf_dir):
+    name = T.label("title", "id")
+    return nodes(spark, sf_dir).select("id", T.mermaid_escape(name).alias("mermaid"), T.dot_escape(name).alias("dot"), T.authority_rank("authority").alias("rank"))
+
+
+# Sections
+
+
+@query(ORACLE + 'select id as file_id, pos, level, text, marker, slug, anchor, start, "end" from secs')
+def headings(spark, sf_dir):
+    return L.headings(nodes(spark, sf_dir)).drop("ancestors")
+
+
+@query(ORACLE + "select id as file_id, anchor, hash, start, \"end\" from targets t join docs d on d.id = t.file_id where kind = 'section'")
+def section_hash(spark, sf_dir):
+    return L.file_targets(nodes(spark, sf_dir)).where("kind = 'section'").select("file_id", "anchor", "hash", "start", "end")
+
+
+@query(
+    ORACLE
+    + 'select s.id || \'#\' || s.anchor as target_key, o.id || \'#\' || o.anchor as ancestor_key, cast(row_number() over (partition by s.id, s.pos order by o.start) - 1 as int) as pos from secs s join secs o on o.id = s.id and o.start < s.start and o."end" >= s."end"'
+)
+def ancestors(spark, sf_dir):
+    return L.ancestors(L.file_targets(nodes(spark, sf_dir)))
+
+
+@query(ORACLE + 'select target_key, file_id, anchor, kind, start, "end", path, hash from targets')
+def target_index(spark, sf_dir):
+    return L.file_targets(nodes(spark, sf_dir)).drop("ancestors")
+
+
+@query(ORACLE + "select target_key, count(*) as n, arg_min(path || ':' || start, (path, start)) as first_site, arg_max(path || ':' || start, (path, start)) as last_site from targets group by target_key having count(*) > 1")
+def duplicate_ids(spark, sf_dir):
+    return L.duplicate_keys(L.file_targets(nodes(spark, sf_dir)))
+
+
+@query(ORACLE + "select file_id, string_agg(distinct target_key, ' ' order by target_key) as anchors from targets where kind = 'section' group by file_id")
+def anchors_by_file(spark, sf_dir):
+    return L.anchors_by_file(L.file_targets(nodes(spark, sf_dir))).select("file_id", F.array_join("anchors", " ").alias("anchors"))
+
+
+# Edges
+
+
+@query(ORACLE + "select source_id, pos, target_ref, target_key, seen from edges")
+def resolved_edges(spark, sf_dir):
+    return lattice(spark, sf_dir).edges
+
+
+@query(ORACLE + "select target_key, string_agg(distinct source_id, ' ' order by source_id) as sources from edges where target_key is not null group by target_key")
+def dependents(spark, sf_dir):
+    return L.dependents(lattice(spark, sf_dir).edges).select("target_key", F.array_join("sources", " ").alias("sources"))
+
+
+@query(ORACLE + "select * from statuses")
+def check_edges(spark, sf_dir):
+    return drift.check(lattice(spark, sf_dir))
+
+
+@query(ORACLE + "select s.state, count(t.state) as count from (values ('OK'), ('STALE'), ('UNRECONCILED'), ('BROKEN')) s(state) left join statuses t on t.state = s.state group by s.state")
+def check_summary(spark, sf_dir):
+    return drift.summary(drift.check(lattice(spark, sf_dir)))
+
+
+@query(ORACLE + "select * from statuses where state in ('STALE', 'BROKEN')")
+def check_only(spark, sf_dir):
+    return drift.only(drift.check(lattice(spark, sf_dir)), ["stale", "broken"])
+
+
+@query(ORACLE + "select * from statuses where state <> 'OK'")
+def check_problems(spark, sf_dir):
+    return drift.problems(drift.check(lattice(spark, sf_dir)))
+
+
+@query(ORACLE + "select coalesce(bool_or(state <> 'OK'), false) as has_drift from statuses")
+def drift_gate(spark, sf_dir):
+    return drift.gate(drift.check(lattice(spark, sf_dir)))
+
+
+# Authority
+
+
+@query(ORACLE + "select source_id, pos, target_ref, target_id, source_authority, target_authority from linted where kind = 'violation'")
+def lint_violations(spark, sf_dir):
+    return authority.violations(authority.lint(lattice(spark, sf_dir)))
+
+
+@query(ORACLE + "select source_id, pos, target_ref, kind as reason from linted where kind like '%-unannotated'")
+def lint_skipped(spark, sf_dir):
+    return authority.skipped(authority.lint(lattice(spark, sf_dir)))
+
+
+@query(
+    ORACLE
+    + "select count(*) filter (kind in ('ok', 'violation')) as checked, count(*) filter (kind = 'violation') as violations, count(*) filter (kind = 'source-unannotated') as source_unannotated, count(*) filter (kind = 'target-unannotated') as target_unannotated from linted"
+)
+def lint_coverage(spark, sf_dir):
+    return authority.coverage(authority.lint(lattice(spark, sf_dir)))
+
+
+# Impact
+
+_EXPAND_FILE = f"select target_key from targets where file_id = '{FILE}'"
+_EXPAND_SECTION = f"""select distinct o.id || '#' || o.anchor as target_key from secs s join secs o on o.id = s.id and o.start <= s.start and o."end" >= s."end" where s.id || '#' || s.anchor = '{SECTION}'
+  union select split_part('{SECTION}', '#', 1) where exists (select 1 from targets where target_key = '{SECTION}')"""
+
+
+@query(ORACLE + _EXPAND_FILE)
+def expand_file_token(spark, sf_dir):
+    return closure.expand(lattice(spark, sf_dir), FILE)
+
+
+@query(ORACLE + _EXPAND_SECTION)
+def expand_section_token(spark, sf_dir):
+    return closure.expand(lattice(spark, sf_dir), SECTION)
+
+
+_AFFECTED = "select d.id, d.title, d.path, r.depth from reach r join docs d on d.id = r.id"
+
+
+def _impact(spark, sf_dir, token, depth=None):
+    return closure.impact(lattice(spark, sf_dir), token, depth).drop("tickets")
+
+
+@query(ORACLE + reach_sql(_EXPAND_FILE, 60) + _AFFECTED)
+def impact_full(spark, sf_dir):
+    return _impact(spark, sf_dir, FILE)
+
+
+@query(ORACLE + reach_sql(_EXPAND_FILE, 1) + _AFFECTED)
+def impact_depth1(spark, sf_dir):
+    return _impact(spark, sf_dir, FILE, 1)
+
+
+@query(ORACLE + reach_sql(_EXPAND_FILE, 2) + _AFFECTED)
+def impact_depth2(spark, sf_dir):
+    return _impact(spark, sf_dir, FILE, 2)
+
+
+@query(ORACLE + reach_sql(_EXPAND_SECTION, 60) + _AFFECTED)
+def impact_section(spark, sf_dir):
+    return _impact(spark, sf_dir, SECTION)
+
+
+@query(
+    """with n as (select n_nationkey from nation where n_regionkey = 1), c as (select c_custkey from customer where c_nationkey in (from n))
+    select 'nation-' || n_nationkey as id, 1 as depth from n union all select 'customer-' || c_custkey, 2 from c
+    union all select 'supplier-' || s_suppkey, 2 from supplier where s_nationkey in (from n)
+    union all select 'order-' || o_orderkey, 3 from orders where o_custkey in (from c)"""
+)
+def impact_star_region(spark, sf_dir):
+    return closure.impact_ids(star_edges(spark, sf_dir), spark.createDataFrame([("region-1",)], "target_key string"))
+
+
+# Graph
+
+
+@query(ORACLE + "select * from collapsed")
+def graph_edges(spark, sf_dir):
+    return graph.collapsed(drift.check(lattice(spark, sf_dir)))
+
+
+@query(
+    ORACLE
+    + """, named as (select id, 'n' || (row_number() over (order by id) - 1) as name, replace(coalesce(nullif(title, ''), id), '"', '''') as label from docs),
+    lines as (select 0 as part, id as a, '' as b, '    ' || name || '["' || label || '"]' || chr(10) as line from named
+      union all select 1, upstream, downstream, '    ' || u.name || case when stale then ' -.-> ' else ' --> ' end || d.name || chr(10)
+      from collapsed join named u on u.id = upstream join named d on d.id = downstream)
+    select 'graph TD' || chr(10) || string_agg(line, '' order by part, a, b) as text from lines"""
+)
+def graph_mermaid(spark, sf_dir):
+    found = lattice(spark, sf_dir)
+    return graph.mermaid(found, drift.check(found))
+
+
+@query(
+    ORACLE
+    + """, lines as (select 0 as part, id as a, '' as b, '    "' || id || '" [label="' || replace(coalesce(nullif(title, ''), id), '"', '\\"') || '"];' || chr(10) as line from docs
+      union all select 1, upstream, downstream, '    "' || upstream || '" -> "' || downstream || '"' || case when stale then ' [style=dashed];' else ';' end || chr(10) from collapsed)
+    select 'digraph lattice {' || chr(10) || string_agg(line, '' order by part, a, b) || '}' || chr(10) as text from lines"""
+)
+def graph_dot(spark, sf_dir):
+    found = lattice(spark, sf_dir)
+    return graph.dot(found, drift.check(found))
+
+
+@query(ORACLE + "select id, title, layer, authority, path from docs")
+def graph_json_nodes(spark, sf_dir):
+    return graph.json_nodes(lattice(spark, sf_dir))
+
+
+# Audit
+
+_OWN = f"select '{FILE}'"
+
+
+def _joined(trigger):
+    return trigger.select("node_id", F.array_join("drifted_refs", " ").alias("drifted_refs"))
+
+
+@query(ORACLE + "select * from stale_nodes")
+def audit_trigger(spark, sf_dir):
+    return _joined(audit.audit_trigger(lattice(spark, sf_dir)))
+
+
+@query(ORACLE + reach_sql(_EXPAND_FILE, 60) + f"select * from stale_nodes where node_id in (select id from reach union {_OWN})")
+def audit_trigger_scoped(spark, sf_dir):
+    return _joined(audit.audit_trigger(lattice(spark, sf_dir), FILE))
+
+
+@query(
+    ORACLE
+    + reach_sql(_EXPAND_FILE, 60)
+    + """select source_id as node_id, string_agg(target_ref, ' ' order by pos) as drifted_refs from edges e join targets t on t.target_key = e.target_key
+    where source_id in (select id from reach) and (file_id in (select id from reach) or e.target_key in (select target_key from seeds)) group by source_id"""
+)
+def from_trigger(spark, sf_dir):
+    return _joined(audit.from_trigger(lattice(spark, sf_dir), FILE))
+
+
+def _partitioned(found, trigger):
+    return audit.partition_tickets(audit.ticket_refs(found, trigger), TEAM, most=None)
+
+
+@query(ORACLE + "select distinct ticket_ref, reason from refused join node_tickets using (ticket_ref) where node_id in (select node_id from stale_nodes)")
+def ticket_partition(spark, sf_dir):
+    found = lattice(spark, sf_dir)
+    return _partitioned(found, audit.audit_trigger(found))
+
+
+@query(
+    ORACLE
+    + """, valid as (select distinct split_part(ticket_ref, '-', 1) as team, cast(split_part(ticket_ref, '-', 2) as bigint) as number
+      from refused join node_tickets using (ticket_ref) where reason is null and node_id in (select node_id from stale_nodes)),
+    placed as (select *, cast((row_number() over (partition by team order by number) - 1) // 50 as int) as batch from valid)
+    select team, batch, string_agg(number, ',' order by number) as numbers from placed group by team, batch"""
+)
+def ticket_batches(spark, sf_dir):
+    found = lattice(spark, sf_dir)
+    return audit.ticket_batches(_partitioned(found, audit.audit_trigger(found)))
+
+
+_FINDINGS = """, graded as (
+  select case when t.type is null then 'BLOCKED' when t.type = 'completed' then 'DANGER' when t.type = 'started' then 'WARNING' when t.type in ('unstarted', 'backlog') then 'INFO' end as severity,
+    n.node_id, d.title as node_title, d.path as node_path, s.drifted_refs, n.ticket_ref, case when t.type is null then coalesce(r.reason, 'not-found') end as reason, t.type as state
+  from node_tickets n join stale_nodes s using (node_id) join docs d on d.id = n.node_id left join tracker t using (ticket_ref) left join refused r using (ticket_ref)),
+findings as (select * from graded where severity is not null)
+"""
+
+
+def _findings(spark, sf_dir):
+    found = lattice(spark, sf_dir)
+    trigger = audit.audit_trigger(found)
+    return audit.stale_shipped(found, trigger, tickets(spark, sf_dir), _partitioned(found, trigger))
+
+
+@query(ORACLE + _FINDINGS + "select * from findings")
+def stale_shipped(spark, sf_dir):
+    shown = F.array_join("drifted_refs", " ").alias("drifted_refs")
+    return _findings(spark, sf_dir).select("severity", "node_id", "node_title", "node_path", shown, "ticket_ref", "reason", F.col("ticket.state.type").alias("state"))
+
+
+@query(ORACLE + _FINDINGS + "select coalesce(bool_or(severity in ('DANGER', 'BLOCKED', 'WARNING')), false) as fails from findings")
+def stale_shipped_gate(spark, sf_dir):
+    return audit.gate(_findings(spark, sf_dir), warnings=True)
+
+
+# Reconcile
+
+_PLAN = "select d.path, source_id, target_ref as ref, actual as new_seen from statuses join docs d on d.id = source_id where state in ('STALE', 'UNRECONCILED')"
+
+
+@query(ORACLE + _PLAN)
+def reconcile_plan_all(spark, sf_dir):
+    return reconcile.plan(lattice(spark, sf_dir), everything=True)
+
+
+@query(ORACLE + _PLAN + " and source_id = 'doc-5'")
+def reconcile_plan_node(spark, sf_dir):
+    return reconcile.plan(lattice(spark, sf_dir), "doc-5")
+
+
+@query(ORACLE + _PLAN + " and target_ref = 'doc-3'")
+def reconcile_plan_ref(spark, sf_dir):
+    return reconcile.plan(lattice(spark, sf_dir), ref="doc-3", everything=True)
+
+
+@query(ORACLE + "select state, count(*) as count from (select case when state in ('STALE', 'UNRECONCILED') then 'OK' else state end as state from statuses) group by state")
+def post_reconcile_check(spark, sf_dir):
+    found = lattice(spark, sf_dir)
+    after = reconcile.applied(found, reconcile.plan(found, everything=True))
+    return drift.check(after).groupBy("state").agg(F.count(F.lit(1)).alias("count"))
