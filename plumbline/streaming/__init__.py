@@ -1 +1 @@
-"""Subpackage."""
+"""Drift of a growing corpus as a stream."""
