@@ -158,11 +158,11 @@ def parse_document(path: str, data: bytes) -> dict:
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """PARSED of (path, content), a narrow transformation."""
+    """PARSED of (path, content), a narrow transformation. Null content counts as an empty file."""
 
     def run(batches):
         for batch in batches:
-            rows = [parse_document(p, bytes(c)) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            rows = [parse_document(p, bytes(c or b"")) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
     return files.select("path", "content").mapInArrow(run, PARSED)
