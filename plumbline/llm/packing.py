@@ -44,17 +44,20 @@ def pack_histogram(counts: dict[int, int], context: int = CONTEXT) -> list[tuple
             if open_runs and -open_runs[0][0] >= length:
                 free, first, n = heapq.heappop(open_runs)
                 free = -free
-                take = min(n, left)
+                take, times = min(n, left), 1
                 if take < n:
                     heapq.heappush(open_runs, (-free, first + take, n - take))
             else:
-                free, first, take = context, packs, left
+                # A new pack is the shortest until it has no room left; so all but the last are filled up one by one.
+                free, first, times = context, packs, min(left, context // length)
+                take = left // times
                 packs += take
-            placements.append((length, rank, take, first, context - free))
-            if free > length:
-                heapq.heappush(open_runs, (length - free, first, take))
-            rank += take
-            left -= take
+            for k in range(times):
+                placements.append((length, rank, take, first, context - free + k * length))
+                rank += take
+            left -= take * times
+            if free > length * times:
+                heapq.heappush(open_runs, (length * times - free, first, take))
     return placements
 
 

@@ -1,0 +1,70 @@
+from collections import defaultdict
+
+from hypothesis import given
+from hypothesis import strategies as st
+
+from plumbline.llm import packing
+from plumbline.llm.common import table
+from plumbline.llm.token_counts import token_lengths
+from tests.conftest import SMALL
+
+
+def plain(counts, context):
+    """Sizes of packs when each piece by itself goes into the shortest pack, longest pieces first."""
+    packs = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            k = min(range(len(packs)), key=packs.__getitem__, default=None)
+            if k is not None and packs[k] + length <= context:
+                packs[k] += length
+            else:
+                packs.append(length)
+    return packs
+
+
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 12), max_size=12))
+def test_runs_of_packs_end_as_single_packs_do(counts):
+    at, used = defaultdict(int), set()
+    seen = defaultdict(int)
+    for length, rank, n, first, offset in packing.pack_histogram(counts, 40):
+        assert seen[length] == rank
+        seen[length] += n
+        for p in range(first, first + n):
+            assert at[p] == offset and (p, offset) not in used
+            used.add((p, offset))
+            at[p] += length
+    assert dict(seen) == counts and all(v <= 40 for v in at.values()) and sorted(at) == list(range(len(at)))
+    assert sorted(at.values()) == sorted(plain(counts, 40))
+
+
+def placed_well(df, lengths, context):
+    rows = df.collect()
+    tokens, packs = defaultdict(list), defaultdict(list)
+    for r in rows:
+        tokens[r.doc_id].append((r.piece, r.n_tokens))
+        packs[r.pack_id].append((r.pack_offset, r.n_tokens))
+    for some in packs.values():
+        at = 0
+        for offset, n in sorted(some):
+            assert offset == at
+            at += n
+        assert at <= context
+    assert sorted(packs) == list(range(len(packs)))
+    want = defaultdict(list)
+    for r in lengths.collect():
+        want[r.doc_id] += [(p, min(context, r.n_tokens - p * context)) for p in range(-(-r.n_tokens // context))]
+    assert {k: sorted(v) for k, v in tokens.items()} == {k: sorted(v) for k, v in want.items() if v}
+    return packs
+
+
+def test_query_places_every_token_once(spark, docs, none, monkeypatch):
+    for df, context in ((table(spark, SMALL, "documents"), packing.CONTEXT), (docs, 1000)):
+        lengths = token_lengths(df)
+        packs = placed_well(packing.packed(df, context=context), lengths, context)
+        total = sum(r.n_tokens for r in lengths.collect())
+        assert len(packs) <= 1.15 * total / context + 2
+    assert packing.packed(none).count() == 0
+    before = sorted(map(tuple, packing.packed(table(spark, SMALL, "documents").repartition(5)).collect()))
+    assert before == sorted(map(tuple, packing.packed(table(spark, SMALL, "documents")).collect()))
+    monkeypatch.setattr(packing, "RANKED_AT_ONCE", 3)
+    placed_well(packing.packed(table(spark, SMALL, "documents")), token_lengths(table(spark, SMALL, "documents")), packing.CONTEXT)

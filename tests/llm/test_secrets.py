@@ -1,0 +1,62 @@
+import math
+import re
+from collections import Counter
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from plumbline.llm import queries, secrets
+from tests.llm.conftest import LONG, SECRET
+from tests.oracle import connect, same_rows
+
+LARGER = "/root/testdata/sf0.01"
+
+
+def entropy(x):
+    return -sum(n / len(x) * math.log2(n / len(x)) for n in Counter(x).values())
+
+
+@given(st.text("abcdEF01", min_size=1, max_size=60), st.integers(1, 20))
+def test_window_entropy_is_that_of_the_best_window(text, window):
+    w = min(window, len(text))
+    want = max(entropy(text[i : i + w]) for i in range(len(text) - w + 1))
+    assert secrets.window_entropy(text, window) == pytest.approx(want, abs=1e-9)
+
+
+def brute(text):
+    out = []
+    for m in re.finditer(r"(?:commit |sha1:|sha256:|sha512:|md5:)?[A-Za-z0-9+/_\-]{16,}", text):
+        run = m.group()
+        if re.match(r"commit |sha1:|sha256:|sha512:|md5:", run) or any(re.fullmatch(p, run, re.S) for p in secrets.ALLOW_WHOLE):
+            continue
+        kind = "decimal" if run.isdigit() else "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", run) else "alnum" if re.fullmatch("[0-9a-z]+|[0-9A-Z]+", run) else "base64"
+        best = round(max(entropy(run[i : i + 16]) for i in range(len(run) - 15)), 4)
+        if best >= secrets.THRESHOLDS[kind]:
+            out.append((m.start(), len(run), kind, best))
+    return out
+
+
+PIECES = st.sampled_from(["commit ", "sha1:", SECRET, "deadbeef01234567", "9" * 20, "some-long-path/with_words", "é", " ", "-", "Ab3", "3f9c2b7a1d5e8f60", "EXAMPLE", "550e8400-e29b-41d4-a716-446655440000", "x" * 17])
+
+
+@given(st.lists(PIECES, max_size=8).map("".join))
+def test_scan_is_the_plain_one(text):
+    assert secrets.scan_text(text) == brute(text)
+
+
+def test_findings(spark, docs, none):
+    got = sorted(map(tuple, secrets.secret_findings(docs).collect()), key=repr)
+    assert got == sorted([(7, 9, 20, "base64", 4.0)] * 2 + [(None, 9, 20, "base64", 4.0)], key=repr)
+    assert secrets.secret_findings(none).count() == 0
+
+
+def test_redaction_keeps_every_row_and_column(docs, none):
+    out = secrets.redact_secrets(docs)
+    assert out.schema == docs.schema and out.count() == docs.count() and secrets.redact_secrets(none).count() == 0
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[7].text == "password [SECRET] stays here" and rows[7].n_chars == len(rows[7].text) and rows[6].text == LONG and rows[3].text is None
+
+
+def test_query_is_its_sql(spark):
+    assert same_rows(queries.op1_secret_scans(spark, LARGER), connect(LARGER), queries.ORACLE_SQL["op1_secret_scans"])
