@@ -56,6 +56,10 @@ LABELLED: tuple[tuple[int, float, int, float, int, float, int], ...] = (
     (1, 1, 13, 0, 13, 0, 0),
     (1, 1, 8, 0, 4, 0, 0),
     (5, 1, 9, 0, 7, 0, 0),
+    (1, 1, 9, 0, 12, 0, 0),
+    (1, 1, 6, 0, 13, 0, 0),
+    (1, 1, 12, 0, 14, 0, 0),
+    (2, 1, 10, 0, 12, 0, 0),
     # notices at the foot of a page
     (22, 0, 11, 0, 0, 0, 0),
     (3, 0, 13, 0, 0, 0, 0),
@@ -110,6 +114,136 @@ LABELLED: tuple[tuple[int, float, int, float, int, float, int], ...] = (
     (88, 0, 64, 0, 0, 0, 1),
     (45, 0.1, 110, 0.04, 0, 0, 1),
     (71, 0, 59, 0.06, 0, 0, 1),
+    # blocks of real pages
+    # advertisements above an article
+    (1, 1, 7, 0, 9, 0, 0),
+    (1, 1, 8, 0, 5, 0, 0),
+    (1, 1, 5, 0, 2, 0, 0),
+    (1, 1, 9, 0, 7, 0, 0),
+    (1, 1, 10, 0, 8, 0, 0),
+    (1, 1, 5, 0, 9, 0, 0),
+    (1, 1, 4, 0, 11, 0, 0),
+    (1, 1, 4, 0, 10, 0, 0),
+    (1, 1, 4, 0, 4, 0, 0),
+    (1, 1, 12, 0, 11, 0, 0),
+    (1, 1, 8, 0, 4, 0, 0),
+    (1, 1, 10, 0, 10, 0, 0),
+    (1, 1, 9, 0, 6, 0, 0),
+    (1, 1, 11, 0, 5, 0, 0),
+    # notices below it
+    (9, 0, 12, 0, 0, 0, 0),
+    (59, 0, 10, 0, 0, 0, 0),
+    (64, 0, 12, 0, 0, 0, 0),
+    (21, 0, 7, 0, 0, 0, 0),
+    (10, 0, 15, 0, 0, 0, 0),
+    (8, 0, 14, 0, 0, 0, 0),
+    (5, 0, 15, 0, 0, 0, 0),
+    (10, 0, 14, 0, 0, 0, 0),
+    (9, 0, 10, 0, 0, 0, 0),
+    (2, 0, 11, 0, 0, 0, 0),
+    (92, 0, 7, 0, 0, 0, 0),
+    (160, 0, 15, 0, 0, 0, 0),
+    (9, 0, 7, 0, 0, 0, 0),
+    (8, 0, 12, 0, 0, 0, 0),
+    (12, 0, 13, 0, 0, 0, 0),
+    (8, 0, 8, 0, 0, 0, 0),
+    (14, 0, 15, 0, 0, 0, 0),
+    (25, 0, 11, 0, 0, 0, 0),
+    # its headline
+    (13, 0, 12, 0, 35, 0, 1),
+    (8, 0, 9, 0, 12, 0, 1),
+    (4, 0, 10, 0, 114, 0, 1),
+    (10, 0, 10, 0, 172, 0, 1),
+    (8, 0, 5, 0, 5, 0, 1),
+    (12, 0, 6, 0, 6, 0, 1),
+    (8, 0, 10, 0, 51, 0, 1),
+    (9, 0, 12, 0, 184, 0, 1),
+    (7, 0, 5, 0, 5, 0, 1),
+    (5, 0, 10, 0, 172, 0, 1),
+    (11, 0, 5, 0, 5, 0, 1),
+    (9, 0, 11, 0, 117, 0, 1),
+    # its first paragraph
+    (8, 0, 9, 0, 91, 0, 1),
+    (4, 0, 4, 0, 8, 0, 1),
+    (11, 0, 149, 0, 46, 0, 1),
+    (9, 0, 9, 0, 90, 0, 1),
+    (1, 0, 1, 0, 37, 0, 1),
+    (8, 0, 12, 0, 8, 0, 1),
+    (12, 0, 35, 0, 1, 0, 1),
+    (11, 0, 65, 0, 57, 0, 1),
+    (7, 0, 7, 0, 3, 0, 1),
+    (10, 0, 114, 0, 164, 0, 1),
+    # its last paragraph
+    (43, 0, 22, 0, 16, 0, 1),
+    (135, 0, 7, 0, 7, 0, 1),
+    (25, 0, 3, 0, 11, 0, 1),
+    (968, 0, 9, 0, 7, 0, 1),
+    (46, 0, 25, 0, 12, 0, 1),
+    (9, 0, 20, 0, 13, 0, 1),
+    (19, 0, 14, 0, 15, 0, 1),
+    (25, 0, 32, 0, 13, 0, 1),
+    (21, 0, 72, 0, 12, 0, 1),
+    (1, 0, 76, 0, 7, 0, 1),
+    (3, 0, 8, 0, 8, 0, 1),
+    (1, 0, 9, 0, 13, 0, 1),
+    (52, 0, 25, 0, 11, 0, 1),
+    (29, 0, 8, 0, 7, 0, 1),
+    # short paragraphs within
+    (21, 0, 3, 0, 82, 0, 1),
+    (51, 0, 7, 0, 57, 0, 1),
+    (55, 0, 11, 0, 28, 0, 1),
+    (95, 0, 11, 0, 49, 0, 1),
+    (45, 0, 1, 0, 30, 0, 1),
+    (29, 0, 19, 0, 8, 0, 1),
+    (8, 0, 20, 0, 8, 0, 1),
+    (14, 0, 13, 0, 29, 0, 1),
+    (4, 0, 7, 0, 22, 0, 1),
+    (38, 0, 11, 0, 3, 0, 1),
+    (114, 0, 10, 0, 4, 0, 1),
+    (39, 0, 17, 0, 60, 0, 1),
+    (243, 0, 9, 0, 89, 0, 1),
+    (12, 0, 9, 0, 39, 0, 1),
+    (31, 0, 1, 0, 9, 0, 1),
+    (39, 0, 14, 0, 31, 0, 1),
+    (28, 0, 6, 0, 25, 0, 1),
+    (59, 0, 15, 0, 65, 0, 1),
+    (90, 0, 17, 0, 12, 0, 1),
+    (66, 0, 8, 0, 43, 0, 1),
+    (7, 0, 3, 0, 1, 0, 1),
+    (3, 0, 15, 0, 33, 0, 1),
+    (17, 0, 13, 0, 24, 0, 1),
+    (88, 0, 19, 0, 9, 0, 1),
+    (18, 0, 10, 0, 2, 0, 1),
+    (8, 0, 11, 0, 36, 0, 1),
+    (29, 0, 17, 0, 92, 0, 1),
+    (44, 0, 1, 0, 77, 0, 1),
+    (6, 0, 19, 0, 14, 0, 1),
+    (97, 0, 1, 0, 29, 0, 1),
+    (51, 0, 8, 0, 11, 0, 1),
+    (1, 0, 6, 0, 19, 0, 1),
+    (1, 0, 15, 0, 3, 0, 1),
+    (12, 0, 8, 0, 3, 0, 1),
+    (30, 0, 14, 0, 37, 0, 1),
+    (3, 0, 1, 0, 25, 0, 1),
+    (107, 0, 10, 0, 34, 0, 1),
+    (33, 0, 3, 0, 43, 0, 1),
+    (97, 0, 3, 0, 15, 0, 1),
+    (10, 0, 4, 0, 29, 0, 1),
+    # longer ones
+    (1, 0, 30, 0, 37, 0, 1),
+    (30, 0, 23, 0, 90, 0, 1),
+    (24, 0, 61, 0, 22, 0, 1),
+    (11, 0, 49, 0, 176, 0, 1),
+    (120, 0, 88, 0, 19, 0, 1),
+    (37, 0, 21, 0, 103, 0, 1),
+    (100, 0, 83, 0, 18, 0, 1),
+    (164, 0, 47, 0, 28, 0, 1),
+    (5, 0, 131, 0, 21, 0, 1),
+    (25, 0, 29, 0, 17, 0, 1),
+    (14, 0, 31, 0, 27, 0, 1),
+    (41, 0, 94, 0, 11, 0, 1),
+    (25, 0, 23, 0, 39, 0, 1),
+    (10, 0, 34, 0, 12, 0, 1),
 )
 
 

@@ -172,7 +172,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     near = queries.groupBy("block", "tile").cogroup(held.groupBy("block", "tile")).applyInArrow(search, "vec_id long, neighbour_id long, score double")
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbour_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour_id", F.round("score", 6).alias("score"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour_id", "score")
 
 
 #: The same in DuckDB's SQL, for the whole table ``embeddings``.
@@ -186,5 +186,5 @@ pairs as (
   select a.vec_id, b.vec_id as neighbour_id, round(list_dot_product(a.e, b.e), {_PLACES}) as score
   from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)),
 placed as (select *, row_number() over (partition by vec_id order by score desc, neighbour_id) as rank from pairs)
-select vec_id, cast(rank as int) as rank, neighbour_id, round(score, 6) as score from placed where rank <= {K}
+select vec_id, cast(rank as int) as rank, neighbour_id, score from placed where rank <= {K}
 """
