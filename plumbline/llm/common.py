@@ -76,6 +76,14 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
             return labels.select("id", "component")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Ids that a broadcast may hold; more are joined by a shuffle.
 BROADCAST_ROWS = 4_000_000
 

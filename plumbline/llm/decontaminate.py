@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, unused
 from .textbytes import CLASS, buffers, slices
 
 WORDS = 8
@@ -185,13 +185,14 @@ def _searcher(held):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose document has no test string of any item. Rows with a null id and a hit go too, as nothing else could name them."""
     hits = cut(benchmark_hits(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("_id")).distinct())
-    clean = docs.join(small(hits), docs[id_col] == F.col("_id"), "left_anti")
+    held = small(hits)
+    clean = docs.join(held, docs[id_col].cast("long") == held["_id"], "left_anti")
     if hits.where("_id is null").isEmpty():
         return clean
-    nameless = clean.where(F.col(id_col).isNull()).withColumn("_row", F.monotonically_increasing_id())
-    nameless = cut(nameless)
-    bad = benchmark_hits(nameless.drop(id_col), benchmark, "_row", text_col, **options).select("doc_id").distinct()
-    return clean.where(F.col(id_col).isNotNull()).unionByName(nameless.join(bad, nameless["_row"] == bad["doc_id"], "left_anti").drop("_row"))
+    row = unused(docs, "_row")
+    nameless = cut(clean.where(F.col(id_col).isNull()).withColumn(row, F.monotonically_increasing_id()))
+    bad = benchmark_hits(nameless.drop(id_col), benchmark, row, text_col, **options).select("doc_id").distinct()
+    return clean.where(F.col(id_col).isNotNull()).unionByName(nameless.join(bad, nameless[row] == bad["doc_id"], "left_anti").drop(row))
 
 
 #: The same in DuckDB's SQL, for the whole tables.

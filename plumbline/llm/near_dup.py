@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, small
+from .common import components, cut, small, unused
 from .textbytes import buffers, mix, slices, word_hashes
 
 BLOCKS = 6
@@ -155,12 +155,14 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose document is the one kept of its group, one row for each id."""
-    dropped = cut(near_duplicate_groups(docs, id_col, text_col, threshold).where("not kept").select(F.col("doc_id").alias("_id")))
-    twice = cut(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).count().where("count > 1").select("_id"))
-    kept = docs.join(small(dropped), docs[id_col] == F.col("_id"), "left_anti")
+    dropped = small(cut(near_duplicate_groups(docs, id_col, text_col, threshold).where("not kept").select(F.col("doc_id").alias("_id"))))
+    twice = cut(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).count().where("count > 1").select("_id"))
+    kept = docs.join(dropped, docs[id_col].cast("long") == dropped["_id"], "left_anti")
     if twice.isEmpty():
         return kept
-    rest = kept.join(small(twice), kept[id_col] == F.col("_id"), "left_anti")
-    repeated = kept.join(small(twice), kept[id_col] == F.col("_id"), "left_semi")
-    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last(), F.xxhash64(*repeated.columns))
-    return rest.union(repeated.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row"))
+    twice = small(twice)
+    rest = kept.join(twice, kept[id_col].cast("long") == twice["_id"], "left_anti")
+    repeated = kept.join(twice, kept[id_col].cast("long") == twice["_id"], "left_semi")
+    row = unused(docs, "_row")
+    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last(), F.xxhash64(*[c for c, t in repeated.dtypes if not t.startswith("map")]))
+    return rest.union(repeated.withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).drop(row))
