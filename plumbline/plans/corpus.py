@@ -42,6 +42,17 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, path, length, modificationTime, content): each document as a file, with frontmatter of every kind."""
+    k = F.col("doc_id")
+    number = k.cast("string")
+    tracked = F.concat(F.lit("---\nid: doc-"), number, F.lit("\nauthority: derived\nderives_from:\n- ref: doc-"), number, F.lit("\n- {ref: 'doc-0#l1', seen: null}\ntickets: [ENG-"), number, F.lit("]\n---\n"))
+    head = F.when(k % 10 == 9, "---\nid: x\nowner: nobody\n---\n").when(k % 10 == 8, "---\nkind: note\n---\n").when(k % 10 == 7, "").otherwise(tracked)
+    content = F.concat(head, F.coalesce("text", F.lit(""))).cast("binary")
+    made = table(spark, sf_dir, "documents").where("doc_id is not null")
+    return made.select("doc_id", F.concat(F.lit("docs/"), number, F.lit(".md")).alias("path"), F.length(content).cast("long").alias("length"), F.timestamp_seconds(k).alias("modificationTime"), content.alias("content"))
+
+
 def raw_edges(spark: SparkSession, sf_dir: str, targets: DataFrame) -> DataFrame:
     """References and what was last seen: nothing, something else, or the target as it is now."""
     docs = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import audit, authority, closure, drift, graph, reconcile
 from ..operators import lattice as L
-from .corpus import ORACLE, TEAM, canonical_sql, hash_sql, lattice, nodes, reach_sql, star_edges, table, tickets
+from ..sources import links, snapshot
+from ..sources.frontmatter import parsed
+from .corpus import ORACLE, TEAM, canonical_sql, files, hash_sql, lattice, nodes, raw_edges, reach_sql, star_edges, table, tickets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,6 +71,47 @@ def node_labels(spark, sf_dir):
     return nodes(spark, sf_dir).select("id", T.mermaid_escape(name).alias("mermaid"), T.dot_escape(name).alias("dot"), T.authority_rank("authority").alias("rank"))
 
 
+# Sources
+
+
+@query(
+    f"""with recursive d as (select doc_id, doc_id % 10 as k, coalesce(text, '') as text from documents where doc_id is not null)
+    select 'docs/' || doc_id || '.md' as path, case when k = 9 then null when k = 8 then 'id-less' when k = 7 then 'untracked' else 'tracked' end as disposition,
+      case when k < 7 then 'doc-' || doc_id end as id, cast(case when k < 7 then 2 else 0 end as int) as edges,
+      case when k <> 9 then {hash_sql('text')} end as body_hash, case when k = 9 then 'FRONTMATTER_ERROR' end as error_code from d"""
+)
+def frontmatter_disposition(spark, sf_dir):
+    edges = F.coalesce(F.size(F.coalesce("derives_from", F.array().cast("array<struct<ref:string,seen:string>>"))), F.lit(0))
+    return parsed(files(spark, sf_dir)).select("path", "disposition", "id", edges.alias("edges"), T.content_hash("body").alias("body_hash"), "error_code")
+
+
+_CHANGED = "doc_id % 10 = 3"
+
+
+@query(f"select 'docs/' || doc_id || '.md' as path, not ({_CHANGED}) and doc_id % 17 <> 0 as hit from documents where doc_id is not null")
+def cache_lookup(spark, sf_dir):
+    """A snapshot without every 17th file, and files of which every tenth has changed since."""
+    now = files(spark, sf_dir)
+    was = F.when(F.expr(_CHANGED), F.concat("content", F.lit(b"old"))).otherwise(F.col("content"))
+    known = now.where("doc_id % 17 <> 0").select("path", "length", "modificationTime", F.sha2(was, 256).alias("sha256"))
+    return snapshot.lookup(now, known)
+
+
+@query("select 'docs/' || doc_id || '.md' as path, cast(1 + (doc_id % 2) as int) as kept from documents where doc_id is not null and doc_id % 3 <> 2")
+def cache_evict(spark, sf_dir):
+    """Records of roots that were used lately stay; files that only other roots have seen go."""
+    pair = lambda k, on: F.when(on, F.struct(F.lit(k).alias("key"), F.lit(1).alias("value")))
+    on = F.col("doc_id") % 3 != 2
+    stats = F.map_from_entries(F.array_compact(F.array(pair("a", on), pair("b", on & (F.col("doc_id") % 2 == 1)), pair("gone", F.lit(True)))))
+    known = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), stats.alias("stats"))
+    return snapshot.evict_stats(known, snapshot.evicted(["gone", *"cdefghi"], "b") + ["a"]).select("path", F.size("stats").alias("kept"))
+
+
+@query("select page_id, cast(len(regexp_extract_all(coalesce(html, ''), '(?i)<a\\s[^>]*?href\\s*=\\s*(?:\"[^\"]*\"|''[^'']*'')')) as int) as n_anchors from pages")
+def raw_anchors(spark, sf_dir):
+    return links.raw_anchors(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
 # Sections
 
 
@@ -113,6 +156,11 @@ def resolved_edges(spark, sf_dir):
     return lattice(spark, sf_dir).edges
 
 
+@query(ORACLE + "select source_id, pos, target_ref, seen from edges")
+def edge_dedupe_last_wins(spark, sf_dir):
+    return L.last_wins(raw_edges(spark, sf_dir, L.file_targets(nodes(spark, sf_dir))))
+
+
 @query(ORACLE + "select target_key, string_agg(distinct source_id, ' ' order by source_id) as sources from edges where target_key is not null group by target_key")
 def dependents(spark, sf_dir):
     return L.dependents(lattice(spark, sf_dir).edges).select("target_key", F.array_join("sources", " ").alias("sources"))
