@@ -100,7 +100,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray, punctuation: bool = False) ->
     return np.concatenate(out_h), np.concatenate(out_l), np.searchsorted(start, off).astype(np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """Parts of a batch with about ``most`` bytes of text in each, one row at least."""
     off = buffers(batch.column(column))[1]
     a = 0

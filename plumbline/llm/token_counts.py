@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import running_totals
+from .textbytes import slices
 from .tokens import DEFAULT_VOCABULARY, encoder
 
 
@@ -22,8 +23,9 @@ def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_tokens) of every row."""
 
     def count(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encoder(vocabulary).lengths(batch.column(1)))], names=["doc_id", "n_tokens"])
+        for whole in batches:
+            for batch in slices(whole, "text", 4 << 20):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encoder(vocabulary).lengths(batch.column(1)))], names=["doc_id", "n_tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, "doc_id long, n_tokens long")
 

@@ -143,7 +143,7 @@ def coded_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def code(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 16 << 20):
+            for batch in slices(whole, "text", 4 << 20):
                 ids, off = encoder(vocabulary).ids(batch.column(1))
                 words, text_words, blocks, text_blocks = encode(ids, off, block)
                 payload = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(text_words * 8), pa.py_buffer(words.astype("<u8", copy=False))])
