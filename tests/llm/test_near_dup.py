@@ -9,6 +9,8 @@ from plumbline.llm.common import components, table
 from tests.conftest import SMALL
 from tests.llm.conftest import LONG
 
+WIDE = N._wide_patterns()
+
 
 def brute(rows, threshold=N.THRESHOLD):
     """{id: least id of its group} by comparing all pairs."""
@@ -49,6 +51,24 @@ def test_no_pair_within_the_threshold_is_missed(low, high, flips):
     assert any(home[x] in near[y] for x, y in parts)
 
 
+@given(st.integers(0, 2**60 - 1), st.integers(0, 2**30 - 1), st.sets(st.integers(0, 89), max_size=N.THRESHOLD))
+@settings(max_examples=100, deadline=None)
+def test_no_pair_within_the_threshold_is_missed_by_wide_blocks(low, high, flips):
+    patterns, _ = WIDE
+    a = low | high << 60
+    b = a
+    for f in flips:
+        b ^= 1 << f
+    met = False
+    for k in range(N.BLOCKS // 2):
+        x, y = (np.array([v >> 30 * k & (1 << 30) - 1]) for v in (a, b))
+        home, near = N._wide_anchors(x, patterns)[0, 0], N._wide_anchors(y, patterns)[0]
+        near = near[near >= 0]
+        assert len(set(near.tolist())) == len(near) and max(bin(int(v) ^ int(y[0])).count("1") for v in near) <= 4
+        met |= home in near
+    assert met
+
+
 def test_groups_are_those_of_all_pairs(spark):
     docs = table(spark, SMALL, "documents")
     rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
@@ -56,6 +76,9 @@ def test_groups_are_those_of_all_pairs(spark):
     assert got == brute(rows) and len(set(got.values())) < len(got)
     for threshold in (0, 4):
         assert {r.doc_id: r.group_id for r in N.near_duplicate_groups(docs, threshold=threshold).collect()} == brute(rows, threshold)
+    some = docs.where("doc_id < 60")
+    wide = {r.doc_id: r.group_id for r in N.near_duplicate_groups(some, wide=True).collect()}
+    assert wide == {r.doc_id: r.group_id for r in N.near_duplicate_groups(some, wide=False).collect()}
     with pytest.raises(ValueError):
         N.near_duplicate_groups(docs, threshold=N.THRESHOLD + 1)
 
