@@ -34,7 +34,7 @@ ALLOW_WHOLE = (
 RUN = r"[A-Za-z0-9+/_\-]"
 CANDIDATE = ALLOW_PREFIX + "?" + RUN + "{%d,}" % MIN_LENGTH
 #: The same strings; the look-behind only spares the matcher the starts inside a run.
-_SCAN = re.compile(r"(?:(?<!%s)|(?<=sha1:)|(?<=md5:))(?:%s)?%s{%d,}" % (RUN, ALLOW_PREFIX, RUN, MIN_LENGTH))
+_SCAN = re.compile("%s%s{%d,}|(?<!%s)%s{%d,}" % (ALLOW_PREFIX, RUN, MIN_LENGTH, RUN, RUN, MIN_LENGTH))
 _PREFIX = re.compile(ALLOW_PREFIX)
 _WHOLE = re.compile("|".join(f"(?:{x})" for x in ALLOW_WHOLE), re.S)
 _CLASSES = (("decimal", re.compile(r"[0-9]+")), ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+")), ("alnum", re.compile(r"[0-9a-z]+|[0-9A-Z]+")), ("base64", re.compile(RUN + "+")))

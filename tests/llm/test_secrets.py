@@ -3,7 +3,7 @@ import re
 from collections import Counter
 
 import pytest
-from hypothesis import given
+from hypothesis import example, given
 from hypothesis import strategies as st
 
 from plumbline.llm import queries, secrets
@@ -40,6 +40,8 @@ def brute(text):
 PIECES = st.sampled_from(["commit ", "sha1:", SECRET, "deadbeef01234567", "9" * 20, "some-long-path/with_words", "é", " ", "-", "Ab3", "3f9c2b7a1d5e8f60", "EXAMPLE", "550e8400-e29b-41d4-a716-446655440000", "x" * 17])
 
 
+@example(f"-commit {SECRET}")
+@example(f"xsha1:{SECRET}")
 @given(st.lists(PIECES, max_size=8).map("".join))
 def test_scan_is_the_plain_one(text):
     assert secrets.scan_text(text) == brute(text)
