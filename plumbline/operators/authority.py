@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import authority_rank
+from ..functions.text import authority_rank, ref_file
 from .lattice import Lattice
 
 
@@ -15,11 +15,10 @@ def lint(lattice: Lattice) -> DataFrame:
     ``kind`` is 'violation' if the target's rank is below the source's, 'source-unannotated' or 'target-unannotated' (the
     source wins if both are) or 'ok'. A section has the authority of its file.
     """
-    targets = lattice.targets.select("target_key", "file_id")
     rank = lattice.nodes.select("id", "authority")
     source = rank.select(F.col("id").alias("source_id"), F.col("authority").alias("source_authority"))
     target = rank.select(F.col("id").alias("file_id"), F.col("authority").alias("target_authority"))
-    edges = lattice.edges.where("target_key is not null").join(targets, "target_key").join(source, "source_id").join(target, "file_id")
+    edges = lattice.edges.where("target_key is not null").withColumn("file_id", ref_file("target_key")).join(source, "source_id").join(target, "file_id")
     kind = (
         F.when(F.col("source_authority").isNull(), "source-unannotated")
         .when(F.col("target_authority").isNull(), "target-unannotated")

@@ -24,7 +24,7 @@ RAW_EDGES = "source_id string, pos int, target_ref string, seen string"
 @dataclass(frozen=True)
 class Lattice:
     """``nodes`` (NODES without body), ``targets`` (target_key, file_id, anchor, kind, start, end, path, hash, ancestors) and
-    ``edges`` (source_id, pos, target_ref, target_key or null where broken, seen)."""
+    ``edges`` (source_id, pos, target_ref, target_key and actual hash or nulls where broken, seen)."""
 
     nodes: DataFrame
     targets: DataFrame
@@ -94,10 +94,10 @@ def last_wins(raw_edges: DataFrame) -> DataFrame:
 
 
 def resolve(raw_edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """Edges with their target's key, null where there is none."""
-    keys = targets.select("target_key")
+    """Edges with their target's key and hash, null where there is none. This one join serves all that compares hashes later."""
+    keys = targets.select("target_key", F.col("hash").alias("actual"))
     edges = last_wins(raw_edges)
-    return edges.join(keys, edges["target_ref"] == keys["target_key"], "left").select("source_id", "pos", "target_ref", "target_key", "seen")
+    return edges.join(keys, edges["target_ref"] == keys["target_key"], "left").select("source_id", "pos", "target_ref", "target_key", "seen", "actual")
 
 
 def build(nodes: DataFrame, raw_edges: DataFrame, verify: bool = True) -> Lattice:

@@ -38,4 +38,4 @@ def applied(lattice: Lattice, planned: DataFrame) -> Lattice:
     """The lattice as it will be once ``planned`` is written. Hashes don't cover frontmatter, so that nothing else drifts."""
     new = planned.select("source_id", F.col("ref").alias("target_ref"), "new_seen")
     edges = lattice.edges.join(new, ["source_id", "target_ref"], "left")
-    return Lattice(lattice.nodes, lattice.targets, edges.select("source_id", "pos", "target_ref", "target_key", F.coalesce("new_seen", "seen").alias("seen")))
+    return Lattice(lattice.nodes, lattice.targets, edges.select("source_id", "pos", "target_ref", "target_key", F.coalesce("new_seen", "seen").alias("seen"), "actual"))

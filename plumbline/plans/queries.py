@@ -19,7 +19,13 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 #: What the impact queries start from.
-FILE, SECTION = "doc-3", "doc-1#l11"
+FILE = "doc-3"
+SECTION = "(select min(target_key) from targets where anchor = 'l11')"
+
+
+def _section(found: L.Lattice) -> str:
+    """The first section of that name, as SECTION says in SQL."""
+    return found.targets.where("anchor = 'l11'").agg(F.min("target_key")).first()[0]
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -153,7 +159,7 @@ def anchors_by_file(spark, sf_dir):
 
 @query(ORACLE + "select source_id, pos, target_ref, target_key, seen from edges")
 def resolved_edges(spark, sf_dir):
-    return lattice(spark, sf_dir).edges
+    return lattice(spark, sf_dir).edges.drop("actual")
 
 
 @query(ORACLE + "select source_id, pos, target_ref, seen from edges")
@@ -215,8 +221,8 @@ def lint_coverage(spark, sf_dir):
 # Impact
 
 _EXPAND_FILE = f"select target_key from targets where file_id = '{FILE}'"
-_EXPAND_SECTION = f"""select distinct o.id || '#' || o.anchor as target_key from secs s join secs o on o.id = s.id and o.start <= s.start and o."end" >= s."end" where s.id || '#' || s.anchor = '{SECTION}'
-  union select split_part('{SECTION}', '#', 1) where exists (select 1 from targets where target_key = '{SECTION}')"""
+_EXPAND_SECTION = f"""select distinct o.id || '#' || o.anchor as target_key from secs s join secs o on o.id = s.id and o.start <= s.start and o."end" >= s."end" where s.id || '#' || s.anchor = {SECTION}
+  union select split_part({SECTION}, '#', 1)"""
 
 
 @query(ORACLE + _EXPAND_FILE)
@@ -226,7 +232,8 @@ def expand_file_token(spark, sf_dir):
 
 @query(ORACLE + _EXPAND_SECTION)
 def expand_section_token(spark, sf_dir):
-    return closure.expand(lattice(spark, sf_dir), SECTION)
+    found = lattice(spark, sf_dir)
+    return closure.expand(found, _section(found))
 
 
 _AFFECTED = "select d.id, d.title, d.path, r.depth from reach r join docs d on d.id = r.id"
@@ -253,7 +260,8 @@ def impact_depth2(spark, sf_dir):
 
 @query(ORACLE + reach_sql(_EXPAND_SECTION, 60) + _AFFECTED)
 def impact_section(spark, sf_dir):
-    return _impact(spark, sf_dir, SECTION)
+    found = lattice(spark, sf_dir)
+    return closure.impact(found, _section(found)).drop("tickets")
 
 
 @query(

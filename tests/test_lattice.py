@@ -84,7 +84,9 @@ def test_lint(made):
     assert authority.skipped(found).count() == 3
 
 
-def test_impact_has_least_depths_and_ends_on_cycles(made):
+@pytest.mark.parametrize("driver", [0, 1000])
+def test_impact_has_least_depths_and_ends_on_cycles(made, monkeypatch, driver):
+    monkeypatch.setattr(closure, "DRIVER_PAIRS", driver)
     assert sorted(rows(closure.impact(made, "style#accent"), "id", "depth")) == [("app", 2), ("page", 1), ("sketch", 3), ("style", 4)]
     assert sorted(rows(closure.impact(made, "style"), "id", "depth")) == [("app", 1), ("page", 1), ("sketch", 2), ("style", 3)]
     assert sorted(rows(closure.impact(made, "style", 1), "id", "depth")) == [("app", 1), ("page", 1)]
