@@ -21,18 +21,22 @@ TICKET = f"struct<identifier:string,number:decimal(38,0),title:string,url:string
 RESPONSE = f"struct<errors:array<struct<message:string>>,data:struct<issues:struct<nodes:array<{TICKET}>>>>"
 TIMEOUT_S, ATTEMPTS, MOST_BYTES, MOST_WAIT_S = 30, 3, 5 << 20, 30
 
-_QUERY = (
-    "query Audit($team: String!, $numbers: [Float!]!) {\n"
-    f"  issues(filter: {{ team: {{ key: {{ eq: $team }} }}, number: {{ in: $numbers }} }}, first: {BATCH}, includeArchived: true) {{\n"
-    "    nodes { identifier number title url state { name type } parent { identifier title state { name type } }\n"
-    f"      children(first: {BATCH}) {{ nodes {{ identifier title state {{ name type }} }} }} }}\n"
-    "  }\n}\n"
-)
+_STATE_QL = "state { type name }"
+_QUERY = f"""query Tickets($key: String!, $wanted: [Float!]!) {{
+  issues(includeArchived: true, first: {BATCH}, filter: {{number: {{in: $wanted}}, team: {{key: {{eq: $key}}}}}}) {{
+    nodes {{
+      number identifier url title {_STATE_QL}
+      parent {{ identifier title {_STATE_QL} }}
+      children(first: {BATCH}) {{ nodes {{ identifier title {_STATE_QL} }} }}
+    }}
+  }}
+}}
+"""
 
 
 def build_query(team: str, numbers: list[int]) -> dict:
     """The body of one request. Archived tickets are asked for too: what shipped is what gets archived."""
-    return {"query": _QUERY, "variables": {"team": team, "numbers": numbers}}
+    return {"query": _QUERY, "variables": {"key": team, "wanted": numbers}}
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:

@@ -157,7 +157,7 @@ def test_tickets(spark):
 
     def execute(body):
         asked.append(body["variables"])
-        return response(*(ticket(n, parent={"identifier": "P", "state": {"name": "s", "type": "started"}}) for n in body["variables"]["numbers"] if n != 2))
+        return response(*(ticket(n, parent={"identifier": "P", "state": {"name": "s", "type": "started"}}) for n in body["variables"]["wanted"] if n != 2))
 
     batches = spark.createDataFrame([("ENG", 0, "1,2"), ("OPS", 0, "7")], "team string, batch int, numbers string")
     got = {r.ticket_ref: r.ticket for r in tickets.fetch(spark, batches, execute).collect()}
