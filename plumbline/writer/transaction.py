@@ -7,6 +7,7 @@ had been replaced. It needs a local file system with atomic rename and ``flock``
 
 from __future__ import annotations
 
+import datetime as dt
 import fcntl
 import hashlib
 import json
@@ -15,7 +16,6 @@ import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
-from datetime import UTC, datetime
 from pathlib import Path
 
 from ..errors import ConflictError, PersistenceError, ProjectError, ValidationError
@@ -79,10 +79,10 @@ def _held(root: Path, held: Lock) -> None:
         raise PersistenceError("the project's lock isn't held")
 
 
-def timestamp(value: datetime) -> str:
+def timestamp(value: dt.datetime) -> str:
     if value.utcoffset() is None or value.utcoffset():
         raise ValidationError("a journal's time is in UTC")
-    return value.astimezone(UTC).isoformat().replace("+00:00", "Z")
+    return value.astimezone(dt.UTC).isoformat().replace("+00:00", "Z")
 
 
 def parse_journal(data: bytes) -> dict:
@@ -145,7 +145,7 @@ def ensure_no_journal(root: Path) -> None:
         raise ConflictError("an interrupted transaction waits; recover it first")
 
 
-def commit(root: Path, rewrites: list[Rewrite], selector: Selector, held: Lock, now: datetime | None = None) -> None:
+def commit(root: Path, rewrites: list[Rewrite], selector: Selector, held: Lock, now: dt.datetime | None = None) -> None:
     """Replaces all files, or none."""
     _held(root, held)
     journal = root / JOURNAL
@@ -168,7 +168,7 @@ def commit(root: Path, rewrites: list[Rewrite], selector: Selector, held: Lock,
             staged.append(after)
             name = lambda p: str(p.relative_to(root.resolve() if p.is_relative_to(root.resolve()) else root))
             entries.append({"destination": name(destination), "before_path": name(before), "before_sha256": sha(r.before), "after_path": name(after), "after_sha256": sha(r.after)})
-        provenance = {"created_at": timestamp(now or datetime.now(UTC)), "tool_version": VERSION, "selector": {"mode": selector.mode, "downstream_id": selector.downstream_id, "ref": selector.ref}}
+        provenance = {"created_at": timestamp(now or dt.datetime.now(dt.UTC)), "tool_version": VERSION, "selector": {"mode": selector.mode, "downstream_id": selector.downstream_id, "ref": selector.ref}}
         body = {"version": 2, "state": "prepared", "provenance": provenance, "entries": entries}
         files.create(journal, _dump(body))
     except OSError as error:
