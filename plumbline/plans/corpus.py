@@ -31,7 +31,11 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split(F.translate(F.coalesce("text", F.lit("")), "#{}", "   "), "\n", -1)
     ticket = lambda x: F.concat(F.lit(f"{TEAM}-"), x.cast("string"))
     odd = lambda n, ref: F.when(k % n == 0, F.array(F.lit(ref))).otherwise(F.array().cast("array<string>"))
-    return table(spark, sf_dir, "documents").where("doc_id is not null").select(
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    cores = spark.sparkContext.defaultParallelism
+    if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        docs = docs.repartition(cores)  # a table too small for a task on every core; larger ones are never moved
+    return docs.select(
         name.alias("id"),
         F.when(k % 7 != 0, F.concat(F.lit('Title "'), k.cast("string"), F.lit('"'))).alias("title"),
         F.element_at(F.array(F.lit("design"), F.lit("technical"), F.lit("production")), (k % 3 + 1).cast("int")).alias("layer"),
