@@ -93,7 +93,7 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source_id, target_key): the star schema's foreign keys as a deep graph."""
+    """(source_id, target_key): the star schema's foreign keys from regions down to orders. ``star_lattice`` goes on to lineitem."""
     key = lambda name, c: F.concat(F.lit(f"{name}-"), F.col(c).cast("string"))
     of = lambda t, name, own, other, to: table(spark, sf_dir, t).select(key(name, own).alias("source_id"), key(other, to).alias("target_key"))
     return (
@@ -104,6 +104,17 @@ def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def star_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_id, target_key): region <- nation <- customer/supplier <- orders <- lineitem, and part <- lineitem.
+
+    A lineitem is named by its order and its line number.
+    """
+    key = lambda name, *c: F.concat(F.lit(name), *[x for k in c for x in (F.lit("-"), F.col(k).cast("string"))])
+    to = F.explode(F.array(key("order", "l_orderkey"), key("part", "l_partkey")))
+    items = table(spark, sf_dir, "lineitem").select(key("lineitem", "l_orderkey", "l_linenumber").alias("source_id"), to.alias("target_key"))
+    return star_edges(spark, sf_dir).union(items)
+
+
 _WS = r"[\t\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 

@@ -12,7 +12,7 @@ from ..operators import audit, authority, closure, drift, graph, reconcile
 from ..operators import lattice as L
 from ..sources import links, snapshot
 from ..sources.frontmatter import parsed
-from .corpus import ORACLE, TEAM, canonical_sql, files, hash_sql, lattice, nodes, raw_edges, reach_sql, star_edges, table, tickets
+from .corpus import ORACLE, TEAM, canonical_sql, files, hash_sql, lattice, nodes, raw_edges, reach_sql, star_edges, star_lattice, table, tickets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -274,6 +274,18 @@ def impact_star_region(spark, sf_dir):
     return closure.impact_ids(star_edges(spark, sf_dir), spark.createDataFrame([("region-1",)], "target_key string"))
 
 
+@query(
+    """with n as (select n_nationkey from nation where n_regionkey = 1), c as (select c_custkey from customer where c_nationkey in (from n)),
+    o as (select o_orderkey from orders where o_custkey in (from c))
+    select 'nation-' || n_nationkey as id, 1 as depth from n union all select 'customer-' || c_custkey, 2 from c
+    union all select 'supplier-' || s_suppkey, 2 from supplier where s_nationkey in (from n)
+    union all select 'order-' || o_orderkey, 3 from o
+    union all select distinct 'lineitem-' || l_orderkey || '-' || l_linenumber, 4 from lineitem where l_orderkey in (from o)"""
+)
+def impact_star_lineitem(spark, sf_dir):
+    return closure.impact_ids(star_lattice(spark, sf_dir), spark.createDataFrame([("region-1",)], "target_key string"))
+
+
 # Graph
 
 

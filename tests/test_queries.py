@@ -19,3 +19,10 @@ def test_query_gives_the_rows_of_its_sql(spark, con, name):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["source_id", "pos", "target_ref", "target_id", "state", "expected", "actual"]
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
+
+
+def test_impact_over_the_star_goes_down_to_lineitem(spark, con):
+    affected = "select distinct l_orderkey, l_linenumber from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where n_regionkey = 1"
+    got = {r.id for r in QUERIES["impact_star_lineitem"](spark, SMALL).where("depth = 4").collect()}
+    want = {f"lineitem-{o}-{n}" for o, n in con.execute(affected).fetchall()}
+    assert want and got == want
