@@ -16,7 +16,7 @@ Equal fingerprints are one point. Each anchor's task returns a spanning forest o
 thousands costs its size. Groups are the connected components; the one document kept is the one with the least id.
 
 Defined results: null texts and texts without a word aren't like any other and are kept, as are rows with a null id; rows that
-repeat an id are one document, of which one row stays; texts are read whole at any length; equal sums give a 0 bit; no
+repeat an id are one document, of which the row with the least fingerprint counts and stays; texts are read whole at any length; equal sums give a 0 bit; no
 rows give no rows; other columns pass through ``drop_near_duplicates`` untouched.
 """
 
@@ -31,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .common import components, cut, small, unused
 from .textbytes import buffers, mix, slices, word_hashes
@@ -181,7 +182,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     schema = "doc_id long, low long, high int"
     signed = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(sign, schema))
-    points = cut(signed.where("low is not null and doc_id is not null").groupBy("low", "high").agg(F.min("doc_id").alias("id")))
+    # A document under several texts of one id takes part as its least fingerprint, and names no other.
+    rows = cut(signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.when(F.col("low").isNotNull(), F.struct("low", "high"))).alias("_p")).select("doc_id", "_p.low", "_p.high"))
+    points = cut(rows.where("low is not null").groupBy("low", "high").agg(F.min("doc_id").alias("id")))
 
     def compare(group: pa.Table) -> pa.Table:
         ids = group["id"].to_numpy()
@@ -195,10 +198,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     wide = points.count() > WIDE_POINTS if wide is None else wide
     sent = points.mapInArrow(_replicate(wide), "key long, low long, high int, id long, home boolean")
     groups = components(sent.groupBy("key").applyInArrow(compare, "u long, v long"))
-    rows = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("low", "high")).alias("_p")).select("doc_id", "_p.low", "_p.high")
     placed = rows.join(points, ["low", "high"], "left").select("doc_id", F.coalesce("id", "doc_id").alias("id"))
     grouped = placed.join(groups, "id", "left").select("doc_id", F.coalesce("component", "id").alias("group_id"))
-    # A document under several texts of one id is in one group only, that of its first fingerprint; its point may name it from another.
     alone = signed.where("doc_id is null").select("doc_id", F.col("doc_id").alias("group_id"))
     return grouped.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(True)))
 
@@ -213,6 +214,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     twice = small(twice)
     rest = kept.join(twice, kept[id_col].cast("long") == twice["_id"], "left_anti")
     repeated = kept.join(twice, kept[id_col].cast("long") == twice["_id"], "left_semi")
-    row = unused(docs, "_row")
-    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last(), F.xxhash64(*[c for c, t in repeated.dtypes if not t.startswith("map")]))
-    return rest.union(repeated.withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).drop(row))
+    row, low, high = (unused(docs, c) for c in ("_row", "_low", "_high"))
+
+    def sign(batches):
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                a, b, has = fingerprints(batch.column(batch.schema.get_field_index(text_col)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a, mask=~has), pa.array(b.astype(np.int32), mask=~has)], names=[*batch.schema.names, low, high])
+
+    signed = repeated.mapInArrow(sign, StructType([*repeated.schema, StructField(low, LongType()), StructField(high, IntegerType())]))
+    # The row whose fingerprint the groups are made with.
+    first = Window.partitionBy(id_col).orderBy(F.col(low).asc_nulls_last(), high, F.col(text_col).asc_nulls_last(), F.xxhash64(*[c for c, t in repeated.dtypes if not t.startswith("map")]))
+    return rest.union(signed.withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).drop(row, low, high))

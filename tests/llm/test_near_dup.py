@@ -124,3 +124,18 @@ def test_components(spark, edges):
                 least[a] = least[b] = min(least[a], least[b])
     got = components(spark.createDataFrame(edges, "u long, v long"))
     assert {r.id: r.component for r in got.collect()} == least
+
+
+def test_an_id_with_several_texts_counts_as_the_one_that_stays(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(40)) for c in "zyxwvutsrq"]
+    low, high, _ = N.fingerprints(pa.array(texts))
+    ranked = sorted(zip(low.tolist(), high.tolist(), texts))
+    # The lesser fingerprint belongs to the text that comes later in the alphabet.
+    p, q = next((a[2], b[2]) for a in ranked for b in ranked if a[:2] < b[:2] and a[2] > b[2])
+    for rows, kept in (
+        ([(1, p), (5, p), (5, q), (7, q)], [(1, p), (7, q)]),
+        ([(5, p), (5, q), (7, q)], [(5, p), (7, q)]),
+        ([(1, p), (5, None), (5, p)], [(1, p)]),
+    ):
+        out = N.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted((r.doc_id, r.text) for r in out.collect()) == kept
