@@ -6,7 +6,9 @@ Linked documents begin spread evenly over the shards. In each round a document l
 asks for the one that holds most of the weight, if that is more than its own shard holds. Asked moves are counted by pair of
 shards and gain; pairs of shards exchange equal numbers freely, and beyond that moves go in, highest gains first, while
 the shard has room. Within a pair of shards the moves of highest gain are made. In a round only about half of the documents may move,
-as drawn by a hash, so that neighbours don't swap places for ever. Documents without a link fill the shards up to even sizes.
+as drawn by a hash, so that neighbours don't swap places for ever. Rounds go on until no document's move is allowed, drawn or not,
+or until documents only chase each other: ``PATIENCE`` rounds without a lesser cut. The shards of the least cut are the result.
+Documents without a link fill the shards up to even sizes.
 
 The driver holds tables of shards by shards and never of documents; each round is cut off, so a lost executor costs one round.
 
@@ -19,8 +21,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from .common import cut, ranked
 from .textbytes import buffers, mix, slices, word_hashes
@@ -29,7 +32,9 @@ SHARDS = 64
 HASHES = 6
 SHINGLE = 5
 SLACK = 0.05
-ROUNDS = 8
+#: Only a bound; propagation ends by itself.
+ROUNDS = 200
+PATIENCE = 6
 #: Gains above this are one class when quotas are given; they are still told apart when moves are ranked.
 GAIN_CLASSES = 64
 _RANKED_AT_ONCE = 500_000
@@ -111,31 +116,46 @@ def _draw(*columns: Column | str) -> Column:
 
 
 def propagate(edges: DataFrame, labels: DataFrame, shards: int, cap: int, rounds: int = ROUNDS) -> DataFrame:
-    """``labels`` (id, shard) after up to ``rounds`` rounds over ``edges`` (u, v, weight), no shard above ``cap``."""
+    """``labels`` (id, shard) when no move over ``edges`` (u, v, weight) is allowed or lessens the cut any more, or after ``rounds`` rounds; no shard above ``cap``."""
     spark = labels.sparkSession
-    quiet = 0
+    best, most_inside, still = labels, -1, 0
     for step in range(rounds):
         votes = edges.join(labels.select(F.col("id").alias("v"), "shard"), "v").groupBy("u", "shard").agg(F.sum("weight").alias("weight"))
         own = labels.select(F.col("id").alias("u"), F.col("shard").alias("from"))
         most = votes.groupBy("u").agg(F.max(F.struct("weight", (-_draw("u", "shard")).alias("draw"), "shard")).alias("best"), F.collect_list(F.struct("shard", "weight")).alias("all"))
         held = F.aggregate(F.filter("all", lambda x: x["shard"] == F.col("from")), F.lit(0).cast("long"), lambda s, x: s + x["weight"])
-        wish = most.join(own, "u").select("u", "from", F.col("best.shard").alias("to"), (F.col("best.weight") - held).alias("gain"))
-        wish = cut(wish.where((F.col("gain") > 0) & (F.col("to") != F.col("from")) & (F.pmod(_draw("u", F.lit(step)), F.lit(2)) == 0)))
-        asked: dict[tuple[int, int], np.ndarray] = {}
-        for r in wish.groupBy("from", "to", F.least("gain", F.lit(GAIN_CLASSES - 1)).alias("gain")).count().collect():  # shards * shards * GAIN_CLASSES at most
-            asked.setdefault((r["from"], r["to"]), np.zeros(GAIN_CLASSES, np.int64))[r["gain"]] += r["count"]
-        if not asked:
-            quiet += 1
-            if quiet == 2:
+        state = cut(most.join(own, "u").select("u", "from", F.col("best.shard").alias("to"), (F.col("best.weight") - held).alias("gain"), held.alias("held")))
+        inside = state.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+        if inside > most_inside:
+            best, most_inside, still = labels, inside, 0
+        else:
+            still += 1
+            if still == PATIENCE:
                 break
+        drawn = F.pmod(_draw("u", F.lit(step)), F.lit(2)) == 0
+        wish = state.where((F.col("gain") > 0) & (F.col("to") != F.col("from"))).withColumn("drawn", drawn)
+        everyone: dict[tuple[int, int], np.ndarray] = {}
+        asked: dict[tuple[int, int], np.ndarray] = {}
+        for r in wish.groupBy("from", "to", F.least("gain", F.lit(GAIN_CLASSES - 1)).alias("gain"), "drawn").count().collect():  # 2 * shards * shards * GAIN_CLASSES at most
+            for table in (everyone, asked) if r["drawn"] else (everyone,):
+                table.setdefault((r["from"], r["to"]), np.zeros(GAIN_CLASSES, np.int64))[r["gain"]] += r["count"]
+        sizes = _sizes(labels, shards)
+        if not quotas(everyone, sizes, cap):
+            break
+        allowed = quotas(asked, sizes, cap)
+        if not allowed:
             continue
-        quiet = 0
-        allowed = quotas(asked, _sizes(labels, shards), cap)
         quota = spark.createDataFrame([(a, b, n) for (a, b), n in allowed.items()], "from int, to int, quota long")
         place = F.row_number().over(Window.partitionBy("from", "to").orderBy(F.desc("gain"), _draw("u", F.lit(step)), "u"))
-        moves = wish.withColumn("_place", place).join(F.broadcast(quota), ["from", "to"]).where("_place <= quota").select(F.col("u").alias("id"), "to")  # shards * shards rows
-        labels = cut(labels.join(moves, "id", "left").select("id", F.coalesce("to", "shard").alias("shard")))
-    return labels
+        moves = wish.where("drawn").withColumn("_place", place).join(F.broadcast(quota), ["from", "to"]).where("_place <= quota").select(F.col("u").alias("id"), "to")  # shards * shards rows
+        labels = _unsized(cut(labels.join(moves, "id", "left").select("id", F.coalesce("to", "shard").alias("shard"))))
+    return best
+
+
+def _unsized(df: DataFrame) -> DataFrame:
+    """``df`` without its estimated size, which joins would multiply from round to round until it is no number any more."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.javaRDD(), df._jdf.schema()), spark)
 
 
 def _sizes(labels: DataFrame, shards: int) -> np.ndarray:

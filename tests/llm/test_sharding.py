@@ -102,3 +102,13 @@ def test_query_and_edges(spark, docs, none):
     assert max(Counter(s for _, s in few).values()) - min(Counter(s for _, s in few).values()) <= 1
     assert dict(few)[1] == dict(few)[2]
     assert S.sharded(none).count() == 0 and {r.shard for r in S.sharded(docs, shards=1).collect()} == {0}
+
+
+def test_propagation_goes_on_while_the_cut_gets_less(spark):
+    rng = np.random.default_rng(11)
+    pairs = {(i, i + 1) for i in range(599)} | {tuple(sorted(map(int, rng.choice(np.arange(g, g + 20), 2, replace=False)))) for g in range(0, 600, 20) for _ in range(40)}
+    edges = spark.createDataFrame([e for u, v in sorted(pairs) for e in ((u, v, 1), (v, u, 1))], "u long, v long, weight long").cache()
+    start = spark.range(600).selectExpr("id", "cast(id % 8 as int) as shard")
+    whole, early = (S.propagate(edges, start, 8, 79, *rounds).withColumnRenamed("id", "doc_id") for rounds in ((), (8,)))
+    assert max(Counter(r.shard for r in whole.collect()).values()) <= 79
+    assert S.cut_weight(edges, whole).first().cut < S.cut_weight(edges, early).first().cut
