@@ -5,7 +5,7 @@ a token with itself are one feature). Each is scaled by its class log-count rati
 in bad texts. On the scaled features a linear model with hinge loss is fitted by dual coordinate descent; its weights are
 interpolated with their mean size, as is usual with this method. A text is accepted if its margin isn't negative.
 
-The fit uses at most ``FIT_ROWS`` labelled texts, those whose ids have the least hashes, so that the bound is by design and the
+The fit uses at most ``FIT_ROWS`` labelled texts, those of the table whose ids have the least hashes, so that the bound is by design and the
 sample doesn't depend on order or partitioning. Every text of the table is scored, whole.
 
 Defined results: null texts and texts without a token have a null margin and are rejected; labels that are null, or of no text,
@@ -97,7 +97,9 @@ def fit(start: np.ndarray, bucket: np.ndarray, good: np.ndarray, cost: float = C
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
     """The model of at most ``fit_rows`` labelled texts. The driver receives their feature numbers, not their texts."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.round(F.avg(label_col)).cast("int").alias("label"))
-    sample = known.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
+    # Only ids with a text, else labels of other tables would take the sample's places.
+    present = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"))
+    sample = known.join(present, "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
 
     def extract(batches):
         for whole in batches:

@@ -70,3 +70,11 @@ def test_the_fit_ignores_the_order_of_rows(spark):
     docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
     a, b = quality.train(docs, labels), quality.train(docs.repartition(7), labels.orderBy(F.desc("doc_id")))
     assert a.bias == b.bias and np.array_equal(a.weights, b.weights)
+
+
+def test_labels_of_other_documents_take_no_place_in_the_sample(spark):
+    docs = spark.createDataFrame([(1, "good words here"), (2, "bad junk there")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    others = spark.range(100, 5100).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    model = quality.train(docs, labels.union(others), fit_rows=2)
+    assert model.weights.any() and np.array_equal(model.weights, quality.train(docs, labels).weights)
