@@ -1,6 +1,6 @@
 """Exact length histogram: documents by encoded length, from which every context limit's figures follow.
 
-The corpus is read once: each text becomes its number of tokens, and texts are counted by that number. All other figures
+The corpus is read once: each text becomes its number of tokens, and texts are counted by that number. The counts are written, and all other figures
 are suffix sums over this table, which has a row for each distinct length: for a limit ``L``, documents over it, tokens
 in documents within it, and the total after truncation, ``sum(min(length, L))``, with no second look at the corpus.
 
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_totals
+from .common import cut, running_totals
 from .textbytes import slices
 from .tokens import DEFAULT_VOCABULARY, encoder
 
@@ -36,7 +36,7 @@ def length_histogram(docs: DataFrame, text_col: str = "text", vocabulary: str =
     ``docs_upto`` over the number of documents is the length's quantile; see ``at_limits`` and ``at_quantiles``.
     """
     lengths = token_lengths(docs.withColumn("_id", F.lit(0)), "_id", text_col, vocabulary)
-    return suffix_sums(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")))
+    return suffix_sums(cut(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs"))))
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
