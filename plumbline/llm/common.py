@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,11 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the folder all executors share and read back, so that neither lineage nor cost is repeated.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests, a temporary one is used.
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and all tasks run in this process, as in
+    tests, a temporary one is used; on a cluster, whose machines wouldn't share it, that is an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         given = df.sparkSession.conf.get("spark.checkpoint.dir", "") or ""
+        if not given and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
