@@ -7,6 +7,8 @@ per word. Work goes in segments that end between words, so that memory doesn't f
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,12 +18,55 @@ _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _SEGMENT = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
-#: Byte classes: 0 white space and control, 1 letters, digits and every byte beyond ASCII, 2 other ASCII.
+#: Classes: 0 white space, control and format characters, 1 letters, marks and numbers, 2 other characters, 3 as 1, of scripts without spaces.
 CLASS = np.zeros(256, np.uint8)
 CLASS[33:127] = 2
-CLASS[128:] = 1
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
     CLASS[_a:_b] = 1
+#: Scripts without spaces (first and last code points): each of their characters is a word. Thai and Lao, Burmese, Khmer, Chinese and Japanese.
+SINGLE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+_beyond: list[np.ndarray] = []
+
+
+def _class_table() -> np.ndarray:
+    """The class of every code point, by this Python's Unicode tables."""
+    if not _beyond:
+        table = np.zeros(0x110000, np.uint8)
+        first = "".join(map(unicodedata.category, map(chr, range(0x40000))))[::2]
+        table[:0x40000] = [{"L": 1, "M": 1, "N": 1, "P": 2, "S": 2}.get(c, 0) for c in first]
+        table[0xE0100:0xE01F0] = 1
+        for a, b in SINGLE:
+            table[a : b + 1][table[a : b + 1] == 1] = 3
+        _beyond.append(table)
+    return _beyond[0]
+
+
+def classes(data: np.ndarray) -> np.ndarray:
+    """The class of each byte of UTF-8: that of its character."""
+    cls = CLASS[data]
+    at = np.flatnonzero(data >= 0xC0)
+    if len(at):
+        lead, second = data[at].astype(np.int32), data[at + 1] & 63
+        code = (lead & 31) << 6 | second
+        three = np.flatnonzero(lead >= 0xE0)
+        third = at[three] + 2
+        code[three] = (lead[three] & 15) << 12 | second[three].astype(np.int32) << 6 | data[third] & 63
+        four = np.flatnonzero(lead >= 0xF0)
+        fourth = at[four] + 3
+        code[four] = (lead[four] & 7) << 18 | (second[four].astype(np.int32) << 12) | (data[at[four] + 2].astype(np.int32) & 63) << 6 | data[fourth] & 63
+        kind = _class_table()[code]
+        cls[at] = cls[at + 1] = kind
+        cls[third] = kind[three]
+        cls[fourth] = kind[four]
+    return cls
+
+
+def first_of_word(data: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Whether a run begins at each byte: where the class changes, and at every character of a script without spaces."""
+    first = np.ones(len(data), bool)
+    np.not_equal(cls[1:], cls[:-1], out=first[1:])
+    first |= (cls == 3) & (data >= 0xC0)
+    return first
 
 
 def _power_table(base: np.uint64, n: int) -> np.ndarray:
@@ -65,15 +110,15 @@ def _segments(data: np.ndarray, cls: np.ndarray):
     a, n = 0, len(data)
     while a < n:
         b = min(a + _SEGMENT, n)
-        while b < n and cls[b - 1] and cls[b]:
+        while b < n and cls[b - 1] and cls[b] and (cls[b] < 3 or data[b] < 0xC0):
             b += 1
         yield a, b
         a = b
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, byte lengths, n + 1 offsets of the texts in them): runs of class 1 and, if asked for, of class 2."""
-    cls = CLASS[data]
+    """(hashes, byte lengths, n + 1 offsets of the texts in them): runs of class 1, characters of class 3 and, if asked for, runs of class 2."""
+    cls = classes(data)
     if not punctuation:
         cls[cls == 2] = 0
     edge = np.zeros(len(data) + 1, bool)
@@ -81,9 +126,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray, punctuation: bool = False) ->
     out_h, out_l, out_s = [], [], []
     for a, b in _segments(data, cls):
         c = cls[a:b]
-        change = np.empty(b - a + 1, bool)
-        change[0] = change[-1] = True
-        np.not_equal(c[1:], c[:-1], out=change[1:-1])
+        change = np.append(first_of_word(data[a:b], c), True)
         change[:-1] |= edge[a:b]
         at = np.flatnonzero(change)
         s, e = at[:-1], at[1:]
