@@ -1,7 +1,10 @@
 import re
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.llm import html_text as H
@@ -20,6 +23,10 @@ from tests.conftest import SMALL
         ("<script>var t='</p>';</script><style>x</style><!-- <p>no --><p title='a>b'>yes &amp; so", [("yes & so", 3, 0.0)]),
         ("<p>a<script>never closed <p>b", [("a", 1, 0.0)]),
         ("a < b <p>c", [("a < b", 3, 0.0), ("c", 1, 0.0)]),
+        ("<title-bar>a</title-bar><p>b<svg-icon>c</svg-icon><template-x>d", [("a", 1, 0.0), ("b", 1, 0.0), ("c", 1, 0.0), ("d", 1, 0.0)]),
+        ("<p class=it's>one</p><p>don't", [("one", 1, 0.0), ("don't", 1, 0.0)]),
+        ("<p title = 'a>b' x=\"c>d\" y>yes", [("yes", 1, 0.0)]),
+        ("<title>t</title ><script>x</scripty></script >a<style/>b", [("a", 1, 0.0)]),
         ("<ul><li><a>x</a><li><a>y</a></ul>", [("x", 1, 1.0), ("y", 1, 1.0)]),
     ],
 )
@@ -27,6 +34,96 @@ def test_blocks(page, want):
     assert H.blocks(page) == want
 
 
+class Plain(HTMLParser):
+    """Blocks by the library's parser, event by event, with none of the operator's code."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.text, self.linked, self.hidden, self.link = [], [], [], None, False
+
+    def flush(self):
+        words = "".join(self.text).split()
+        if words:
+            self.found.append((" ".join(words), len(words), min(1.0, sum(len(x.split()) for x in self.linked) / len(words))))
+        self.text, self.linked = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if self.hidden:
+            return
+        if tag in ("script", "style", "noscript", "template", "textarea", "svg", "title"):
+            self.hidden = tag
+            if tag != "svg":
+                self.flush()
+        elif tag == "a":
+            self.link = True
+        elif tag == "br":
+            self.text.append(" ")
+        elif tag not in H.INLINE:
+            self.flush()
+            self.link = False
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if self.hidden:
+            if tag == self.hidden:
+                self.hidden = None
+        elif tag == "a":
+            self.link = False
+        elif tag != "br" and tag not in H.INLINE:
+            self.flush()
+            self.link = False
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.text.append(data)
+            if self.link:
+                self.linked.append(data)
+
+
+def plain(page):
+    parser = Plain()
+    parser.feed(page or "")
+    parser.close()
+    parser.flush()
+    return parser.found
+
+
+def ask(node, x):
+    """The tree's answer, one block at a time, from the table it is grown from."""
+    tree = node
+    at = 0
+    while tree.feature[at] >= 0:
+        at = tree.left[at] if x[tree.feature[at]] <= tree.value[at] else tree.right[at]
+    return tree.value[at] > 0.5
+
+
+def by_hand(page, tree):
+    found = plain(page)
+    around = [(0, 0.0), *((w, d) for _, w, d in found), (0, 0.0)]
+    keep = [ask(tree, [*around[i], *around[i + 1], *around[i + 2]]) for i in range(len(found))]
+    return "\n".join(t for (t, _, _), k in zip(found, keep) if k), len(found), sum(keep)
+
+
+PIECES = st.sampled_from(["<p>", "</p>", "<div class='a>b'>", "</div>", "<a href=x>", "</a>", "<b>", "</b>", "<br>", "<script>if (a<b) '</p>'</script>", "<style>p{}</style>", "<!-- <p>no -->", "<title-bar>", "</title-bar>", "<svg-icon>", "<img alt=\"x>y\">", "one", "two three", " ", "&amp;", "&eacute;", "\n", "<li>", "<h1 data-x=it's>", "<svg><g></g></svg>", "<section/>"])
+
+
+@given(st.lists(PIECES, max_size=25).map("".join))
+@settings(max_examples=400, deadline=None)
+def test_blocks_are_those_of_the_librarys_parser(page):
+    assert H.blocks(page) == [(t, w, pytest.approx(d)) for t, w, d in plain(page)]
+
+
+def test_pages_of_other_layouts():
+    tree = H.default_tree()
+    para = "the harbour was quiet that morning and nobody had thought to ask why the boats stayed in until noon came and went without a sound from the water"
+    nav = "<nav><a>Home</a> </nav><ul><li><a>News</a><li><a>Contact</a></ul>"
+    assert H.extract(f"<p>{para[:60]}", tree)[0] == para[:60]
+    assert H.extract(f"<p>{para}</p><p>{para}</p>", tree)[0] == f"{para}\n{para}"
+    assert H.extract(f"{nav}<h1>A quiet morning at the harbour</h1><p>{para} {para}</p><p>{para}</p>", tree)[0] == f"A quiet morning at the harbour\n{para} {para}\n{para}"
+
+
 def test_a_tree_learns_what_can_be_told_apart():
     rng = np.random.default_rng(0)
     x = rng.random((200, 6))
@@ -53,7 +150,8 @@ def test_held_out_accuracy(spark):
 def test_query_is_the_plain_extraction(spark):
     pages = table(spark, SMALL, "pages")
     tree = H.default_tree()
-    want = {r.page_id: H.extract(r.html, tree) for r in pages.collect()}
+    want = {r.page_id: by_hand(r.html, tree) for r in pages.collect()}
+    assert len(want) == 50 and {i: H.extract(r.html, tree) for r in pages.collect() for i in [r.page_id]} == want
     assert {r.page_id: (r.text, r.n_blocks, r.n_content) for r in H.main_text(pages).collect()} == want
 
 
