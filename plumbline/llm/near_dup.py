@@ -13,11 +13,14 @@ Hamming code of length 31, and a fingerprint is sent to the 1,140 or so within 1
 the comparisons; what is found is the same.
 
 Equal fingerprints are one point. Each anchor's task returns a spanning forest of what it matched, not all pairs, so a group of
-thousands costs its size. Groups are the connected components; the one document kept is the one with the least id.
-
-Defined results: null texts and texts without a word aren't like any other and are kept, as are rows with a null id; rows that
-repeat an id are one document, of which the row with the least fingerprint counts and stays; texts are read whole at any length; equal sums give a 0 bit; no
-rows give no rows; other columns pass through ``drop_near_duplicates`` untouched.
+thousands costs its size. Groups are the connected components; the one document kept is the one with the least id. A document's links,
+the other documents within the threshold, are counted without being listed: a pair counts at the anchor that is a point's home in
+the first block in which the two are near enough to meet for certain, and there alone, once for each of the two.
+
+Defined results: null texts and texts without a word aren't like any other, have no links and are kept, as are rows with a null id; rows that
+repeat an id are one document, of which the row with the least fingerprint counts and stays (of several with that fingerprint the least text, then
+the least hash of all columns); texts are read whole at any length; equal sums give a 0 bit; no
+rows give no rows; other columns, whatever their types, pass through ``drop_near_duplicates`` untouched.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from operator import xor
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
@@ -102,12 +105,12 @@ def _replicate(wide: bool):
     def send(batches, blocks, width, anchors_of, rows):
         for whole in batches:
             for a in range(0, whole.num_rows, rows):
-                low, high, ids = (c.to_numpy() for c in whole.slice(a, rows).columns)
+                low, high, ids, docs = (c.to_numpy() for c in whole.slice(a, rows).columns)
                 for k in range(blocks):
                     anchors = anchors_of(_block(low, high, k, width))
                     row, col = np.nonzero(anchors >= 0)
                     key = k << 31 | anchors[row, col].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(low[row]), pa.array(high[row]), pa.array(ids[row]), pa.array(col == 0)], names=["key", "low", "high", "id", "home"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(low[row]), pa.array(high[row]), pa.array(ids[row]), pa.array(docs[row]), pa.array(col == 0)], names=["key", "low", "high", "id", "docs", "home"])
 
     return broad if wide else narrow
 
@@ -151,28 +154,40 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _matches(low: np.ndarray, high: np.ndarray, home: np.ndarray, threshold: int, cells: int = 1 << 21) -> np.ndarray:
-    """Component labels of an anchor's fingerprints, homes compared with all."""
+def _first(low: np.ndarray, high: np.ndarray, block: int, width: int) -> np.ndarray:
+    """Whether differences of fingerprints are small enough to meet for certain in this block, and in none before it."""
+    within = width // _WIDTH * 2 - 1  # of THRESHOLD bits, some block has so many or fewer
+    out = np.bitwise_count(_block(low.view(np.int64), high, block, width)) <= within
+    for k in range(block):
+        out &= np.bitwise_count(_block(low.view(np.int64), high, k, width)) > within
+    return out
+
+
+def _matches(low: np.ndarray, high: np.ndarray, home: np.ndarray, docs: np.ndarray, threshold: int, block: int, width: int, cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Component labels of an anchor's fingerprints, homes compared with all, and how many documents of others count as each home's links here."""
     homes = np.flatnonzero(home)
     step = max(1, cells // max(1, len(low)))
     i, j, n = np.zeros(0, np.int64), np.zeros(0, np.int64), len(low)
+    links = np.zeros(n)
     for a in range(0, len(homes), step):
         some = homes[a : a + step]
         p, q = np.nonzero(np.bitwise_count(low[some, None] ^ low[None, :]) <= threshold)
         p = some[p]
-        ok = (p != q) & (np.bitwise_count(low[p] ^ low[q]) + np.bitwise_count(high[p] ^ high[q]) <= threshold)
-        i, j = np.concatenate([i, p[ok]]), np.concatenate([j, q[ok]])
+        x, y = low[p] ^ low[q], high[p] ^ high[q]
+        ok = (p != q) & (np.bitwise_count(x) + np.bitwise_count(y) <= threshold)
+        p, q, x, y = p[ok], q[ok], x[ok], y[ok]
+        counts = _first(x, y, block, width)
+        links += np.bincount(p[counts], docs[q[counts]], n)
+        i, j = np.concatenate([i, p]), np.concatenate([j, q])
         if len(i) > cells:
             label = _forest(n, i, j)
             i = np.flatnonzero(label != np.arange(n))
             j = label[i]
-    return _forest(n, i, j)
+    return _forest(n, i, j), links.astype(np.int64)
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, wide: bool | None = None) -> DataFrame:
-    """(doc_id, group_id, kept) of every distinct id and of every row with a null id."""
-    if not 0 <= threshold <= THRESHOLD:
-        raise ValueError(f"the anchors cover distances up to {THRESHOLD}")
+def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, low, high) of every row, nulls for a text without a word; written, so that texts are read once."""
 
     def sign(batches):
         for whole in batches:
@@ -180,34 +195,57 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 low, high, has = fingerprints(batch.column(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, mask=~has), pa.array(high.astype(np.int32), mask=~has)], names=["doc_id", "low", "high"])
 
-    schema = "doc_id long, low long, high int"
-    signed = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(sign, schema))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return cut(texts.mapInArrow(sign, "doc_id long, low long, high int"))
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, wide: bool | None = None) -> DataFrame:
+    """(doc_id, group_id, n_links, kept) of every distinct id and of every row with a null id."""
+    return _groups(_signed(docs, id_col, text_col), threshold, wide)
+
+
+def _groups(signed: DataFrame, threshold: int, wide: bool | None = None) -> DataFrame:
+    if not 0 <= threshold <= THRESHOLD:
+        raise ValueError(f"the anchors cover distances up to {THRESHOLD}")
     # A document under several texts of one id takes part as its least fingerprint, and names no other.
     rows = cut(signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.when(F.col("low").isNotNull(), F.struct("low", "high"))).alias("_p")).select("doc_id", "_p.low", "_p.high"))
-    points = cut(rows.where("low is not null").groupBy("low", "high").agg(F.min("doc_id").alias("id")))
+    points = cut(rows.where("low is not null").groupBy("low", "high").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("docs")))
+    wide = points.count() > WIDE_POINTS if wide is None else wide
+    width = 2 * _WIDTH if wide else _WIDTH
 
-    def compare(group: pa.Table) -> pa.Table:
+    def compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         ids = group["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        low, high = group["low"].to_numpy()[order].view(np.uint64), group["high"].to_numpy()[order].astype(np.uint64)
-        label = _matches(low, high, group["home"].to_numpy()[order], threshold)
-        linked = np.flatnonzero(label != np.arange(len(ids)))
-        return pa.table({"u": ids[linked], "v": ids[label[linked]]})
-
-    wide = points.count() > WIDE_POINTS if wide is None else wide
-    sent = points.mapInArrow(_replicate(wide), "key long, low long, high int, id long, home boolean")
-    groups = components(sent.groupBy("key").applyInArrow(compare, "u long, v long"))
-    placed = rows.join(points, ["low", "high"], "left").select("doc_id", F.coalesce("id", "doc_id").alias("id"))
-    grouped = placed.join(groups, "id", "left").select("doc_id", F.coalesce("component", "id").alias("group_id"))
-    alone = signed.where("doc_id is null").select("doc_id", F.col("doc_id").alias("group_id"))
+        low, high = group["low"].to_numpy()[order].view(np.uint64), group["high"].to_numpy()[order].astype(np.int64)
+        label, links = _matches(low, high, group["home"].to_numpy()[order], group["docs"].to_numpy()[order], threshold, key[0].as_py() >> 31, width)
+        linked, counted = np.flatnonzero(label != np.arange(len(ids))), np.flatnonzero(links)
+        # Edges of the forest, then numbers of links, whose v is null.
+        v = pa.array(np.concatenate([ids[label[linked]], ids[counted]]), mask=np.arange(len(linked) + len(counted)) >= len(linked))
+        return pa.table({"u": np.concatenate([ids[linked], ids[counted]]), "v": v, "links": np.concatenate([np.zeros(len(linked), np.int64), links[counted]])})
+
+    sent = points.mapInArrow(_replicate(wide), "key long, low long, high int, id long, docs long, home boolean")
+    found = cut(sent.groupBy("key").applyInArrow(compare, "u long, v long, links long"))
+    groups = components(found.where("v is not null").select("u", "v"))
+    links = found.where("v is null").groupBy(F.col("u").alias("id")).agg(F.sum("links").alias("_links"))
+    placed = rows.join(points, ["low", "high"], "left").select("doc_id", F.coalesce("id", "doc_id").alias("id"), (F.coalesce("docs", F.lit(1)) - 1).alias("_same"))
+    known = groups.join(links, "id")
+    grouped = placed.join(known, "id", "left").select("doc_id", F.coalesce("component", "id").alias("group_id"), (F.col("_same") + F.coalesce("_links", F.lit(0))).alias("n_links"))
+    alone = signed.where("doc_id is null").select("doc_id", F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_links"))
     return grouped.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(True)))
 
 
+def _hashable(name: str, kind: str) -> Column:
+    """A column as something that can be hashed and ordered, of whatever type."""
+    column = F.col(f"`{name.replace('`', '``')}`")
+    return F.to_json(column) if "variant" in kind else column.cast("string") if "map<" in kind else column
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose document is the one kept of its group, one row for each id."""
-    dropped = small(cut(near_duplicate_groups(docs, id_col, text_col, threshold).where("not kept").select(F.col("doc_id").alias("_id"))))
-    twice = cut(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).count().where("count > 1").select("_id"))
+    signed = _signed(docs, id_col, text_col)
+    dropped = small(cut(_groups(signed, threshold).where("not kept").select(F.col("doc_id").alias("_id"))))
+    twice = cut(signed.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"))
     kept = docs.join(dropped, docs[id_col].cast("long") == dropped["_id"], "left_anti")
     if twice.isEmpty():
         return kept
@@ -222,7 +260,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 a, b, has = fingerprints(batch.column(batch.schema.get_field_index(text_col)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a, mask=~has), pa.array(b.astype(np.int32), mask=~has)], names=[*batch.schema.names, low, high])
 
-    signed = repeated.mapInArrow(sign, StructType([*repeated.schema, StructField(low, LongType()), StructField(high, IntegerType())]))
+    marked = repeated.mapInArrow(sign, StructType([*repeated.schema, StructField(low, LongType()), StructField(high, IntegerType())]))
     # The row whose fingerprint the groups are made with.
-    first = Window.partitionBy(id_col).orderBy(F.col(low).asc_nulls_last(), high, F.col(text_col).asc_nulls_last(), F.xxhash64(*[c for c, t in repeated.dtypes if not t.startswith("map")]))
-    return rest.union(signed.withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).drop(row, low, high))
+    first = Window.partitionBy(id_col).orderBy(F.col(low).asc_nulls_last(), high, F.col(text_col).asc_nulls_last(), F.xxhash64(*[_hashable(*c) for c in repeated.dtypes]))
+    return rest.union(marked.withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).drop(row, low, high))

@@ -12,13 +12,18 @@ from tests.llm.conftest import LONG
 WIDE = N._wide_patterns()
 
 
-def brute(rows, threshold=N.THRESHOLD):
-    """{id: least id of its group} by comparing all pairs."""
+def all_pairs(rows, threshold=N.THRESHOLD):
+    """The places of the rows within the threshold of each row, its own among them."""
     low, high, has = N.fingerprints(pa.array([t for _, t in rows], pa.string()))
     low, high = low.view(np.uint64), high.view(np.uint64)
+    return [np.flatnonzero(has & (np.bitwise_count(low ^ low[k]) + np.bitwise_count(high ^ high[k]) <= threshold)) if has[k] else [k] for k in range(len(rows))]
+
+
+def brute(rows, threshold=N.THRESHOLD):
+    """{id: least id of its group} by comparing all pairs."""
     group = {i: i for i, _ in rows}
     changed = True
-    near = [np.flatnonzero(has & (np.bitwise_count(low ^ low[k]) + np.bitwise_count(high ^ high[k]) <= threshold)) if has[k] else [k] for k in range(len(rows))]
+    near = all_pairs(rows, threshold)
     while changed:
         changed = False
         for k, (i, _) in enumerate(rows):
@@ -72,13 +77,13 @@ def test_no_pair_within_the_threshold_is_missed_by_wide_blocks(low, high, flips)
 def test_groups_are_those_of_all_pairs(spark):
     docs = table(spark, SMALL, "documents")
     rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
-    got = {r.doc_id: r.group_id for r in N.near_duplicate_groups(docs).collect()}
-    assert got == brute(rows) and len(set(got.values())) < len(got)
-    for threshold in (0, 4):
-        assert {r.doc_id: r.group_id for r in N.near_duplicate_groups(docs, threshold=threshold).collect()} == brute(rows, threshold)
-    some = docs.where("doc_id < 60")
-    wide = {r.doc_id: r.group_id for r in N.near_duplicate_groups(some, wide=True).collect()}
-    assert wide == {r.doc_id: r.group_id for r in N.near_duplicate_groups(some, wide=False).collect()}
+    for threshold in (N.THRESHOLD, 4, 0):
+        got = N.near_duplicate_groups(docs, threshold=threshold).collect()
+        group, near = brute(rows, threshold), all_pairs(rows, threshold)
+        assert {r.doc_id: (r.group_id, r.n_links, r.kept) for r in got} == {i: (group[i], len(near[k]) - 1, group[i] == i) for k, (i, _) in enumerate(rows)}
+        assert len(set(group.values())) < len(group) and any(r.n_links for r in got)
+    some = docs.where("doc_id < 12")
+    assert sorted(N.near_duplicate_groups(some, wide=True).collect()) == sorted(N.near_duplicate_groups(some, wide=False).collect())
     with pytest.raises(ValueError):
         N.near_duplicate_groups(docs, threshold=N.THRESHOLD + 1)
 
@@ -98,6 +103,30 @@ def test_edited_copies_are_found_and_other_texts_are_not(spark):
     assert all(got[i] // 2 == i // 2 for i in got)
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_links_are_those_of_all_pairs(spark, wide):
+    """Texts that share most of their words have fingerprints at all distances around the threshold."""
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in range(120)]
+    rows = []
+    for k in range(14 if wide else 300):
+        words = list(base)
+        for at in rng.choice(120, int(rng.integers(0, 25)), replace=False):
+            words[at] = f"e{rng.integers(0, 40)}"
+        rows.append((k, " ".join(words)))
+    near = all_pairs(rows)
+    got = N.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), wide=wide).collect()
+    assert {r.doc_id: r.n_links for r in got} == {k: len(near[k]) - 1 for k, _ in rows}
+    assert len({len(x) for x in near}) > (2 if wide else 10)
+
+
+def test_columns_of_any_type(spark):
+    odd = ["array(map(1, named_struct('a', map('b', id)))) as nested", "map('k', id) as plain", "named_struct('m', map(id, id)) as inner"]
+    df = spark.range(3).selectExpr("1L as doc_id", "'the same text' as text", *odd, "interval 1 day as period")
+    out = N.drop_near_duplicates(df)
+    assert out.schema == df.schema and out.count() == 1
+
+
 def test_a_large_group_costs_its_size(spark):
     docs = spark.range(5000).selectExpr("id as doc_id", "concat('the same words again and again and then one more time ', if(id % 2 = 0, 'x', 'y')) as text")
     got = N.near_duplicate_groups(docs).select("group_id").distinct().collect()
