@@ -91,8 +91,12 @@ def strip_control(x: Column | str) -> Column:
     return F.regexp_replace(_c(x), _CONTROL, "")
 
 
+#: What names a team, for Python's and for Java's matcher.
+TEAM_KEY = "[A-Z][A-Z0-9]*"
+
+
 def is_team_key(x: Column | str) -> Column:
-    return _c(x).rlike(r"\A[A-Z][A-Z0-9]*\z")
+    return _c(x).rlike(rf"\A{TEAM_KEY}\z")
 
 
 def is_ticket_id(x: Column | str) -> Column:

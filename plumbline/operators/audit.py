@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, TicketError
-from ..functions.text import is_team_key, is_ticket_id, ref_file, severity_rank, ticket_severity
+from ..functions.text import TEAM_KEY, is_ticket_id, ref_file, severity_rank, ticket_severity
+from ..lineage import cut, placed, small
 from . import drift
 from .closure import expand, impact
 from .lattice import Lattice
@@ -50,7 +53,7 @@ def partition_tickets(refs: DataFrame, team: str | None = None, most: int | None
 
     ``most`` is the service's limit on one audit; more distinct references are an error, not a cut. None lifts it.
     """
-    if team is not None and not refs.sparkSession.range(1).select(is_team_key(F.lit(team))).first()[0]:
+    if team is not None and not re.fullmatch(TEAM_KEY, team):
         raise ConfigError(f"{team!r} is no team key")
     distinct = refs.select("ticket_ref").distinct()
     if most is not None and (n := distinct.count()) > most:
@@ -62,8 +65,10 @@ def partition_tickets(refs: DataFrame, team: str | None = None, most: int | None
 def ticket_batches(partitioned: DataFrame, size: int = BATCH) -> DataFrame:
     """(team, batch, numbers): what one request to the tracker asks for."""
     valid = partitioned.where("reason is null").select(F.substring_index("ticket_ref", "-", 1).alias("team"), F.substring_index("ticket_ref", "-", -1).cast("decimal(38,0)").alias("number"))
-    place = F.row_number().over(Window.partitionBy("team").orderBy("number"))
-    batched = valid.withColumn("batch", F.floor((place - 1) / size).cast("int"))
+    # One team may have nearly all tickets: places among all, less the place of the team's first.
+    place = placed(valid, ["team", "number"], "_place")
+    first = small(cut(place.groupBy("team").agg(F.min("_place").alias("_first"))))
+    batched = place.join(first, "team").withColumn("batch", F.floor((F.col("_place") - F.col("_first")) / size).cast("int"))
     return batched.groupBy("team", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list("number")), lambda x: x.cast("string")), ",").alias("numbers"))
 
 

@@ -36,6 +36,11 @@ def skipped(found: DataFrame) -> DataFrame:
     return found.where("kind in ('source-unannotated', 'target-unannotated')").select("source_id", "pos", "target_ref", F.col("kind").alias("reason"))
 
 
+def gate(found: DataFrame) -> DataFrame:
+    """One row: whether there is a violation."""
+    return found.agg(F.coalesce(F.bool_or(F.col("kind") == "violation"), F.lit(False)).alias("fails"))
+
+
 def coverage(found: DataFrame) -> DataFrame:
     """One row: edges checked, violations, and skipped edges by reason."""
     count = lambda kind: F.count_if(F.col("kind") == kind)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,37 +21,21 @@ def expand(lattice: Lattice, token: str) -> DataFrame:
     return within.union(around).distinct()
 
 
-#: Pairs of files that the driver walks by itself; a larger graph is walked by joins, with the same result.
-DRIVER_PAIRS = 1_000_000
-
-
-def _walk(pairs: DataFrame, first: DataFrame, max_depth: int | None) -> DataFrame:
-    """``_steps`` for a graph of measured size: a breadth-first walk costs less than a job for each of its steps."""
-    ahead: dict[str, list[str]] = {}
-    table = pairs.toArrow()
-    for to, source in zip(table["to_file"].to_pylist(), table["id"].to_pylist()):
-        ahead.setdefault(to, []).append(source)
-    depth = {r["id"]: 1 for r in first.distinct().toLocalIterator()}
-    frontier, step = list(depth), 1
-    while frontier and (max_depth is None or step < max_depth):
-        step += 1
-        frontier = list(dict.fromkeys(x for f in frontier for x in ahead.get(f, ()) if x not in depth))
-        depth.update(dict.fromkeys(frontier, step))
-    found = pa.table({"id": pa.array(list(depth), pa.string()), "depth": pa.array(list(depth.values()), pa.int32())})
-    return pairs.sparkSession.createDataFrame(found)
-
-
 def _steps(pairs: DataFrame, first: DataFrame, max_depth: int | None) -> DataFrame:
     """(id, depth): ``first`` (id) at depth 1, then sources of edges to what was found. ``pairs``: (to_file, id), no row twice.
 
-    A round costs its frontier: new ids are joined with the edges, and what is known already is taken out by an anti-join.
+    A round costs its frontier: new ids, broadcast if they are few, are joined with the edges, and what is known already is taken
+    out by an anti-join. Each round is written, so that a lost executor costs one.
     """
     frontier = cut(first.distinct().select("id", F.lit(1).alias("depth")))
     found, depth = frontier, 1
-    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
+    while max_depth is None or depth < max_depth:
+        ahead = small(frontier.select(F.col("id").alias("to_file")))
+        if frontier.isEmpty():
+            break
         depth += 1
-        ahead = pairs.join(small(frontier.select(F.col("id").alias("to_file"))), "to_file", "left_semi").select("id").distinct()
-        frontier = cut(ahead.join(found.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth")))
+        reached = pairs.join(ahead, "to_file", "left_semi").select("id").distinct()
+        frontier = cut(reached.join(found.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth")))
         found = found.union(frontier)
     return found
 
@@ -67,8 +50,7 @@ def impact_ids(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None)
     whole = edges.where("target_key is not null")
     first = whole.join(seeds.select("target_key"), "target_key", "left_semi").select(F.col("source_id").alias("id"))
     pairs = cut(whole.select(ref_file("target_key").alias("to_file"), F.col("source_id").alias("id")).distinct())
-    walk = _walk if pairs.limit(DRIVER_PAIRS + 1).count() <= DRIVER_PAIRS else _steps
-    return walk(pairs, first, max_depth)
+    return _steps(pairs, first, max_depth)
 
 
 def impact(lattice: Lattice, token: str, max_depth: int | None = None) -> DataFrame:

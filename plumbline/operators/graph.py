@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import dot_escape, label, mermaid_escape, ref_file
+from ..lineage import cut, placed
 from .lattice import Lattice
 
 
@@ -18,35 +20,45 @@ def collapsed(statuses: DataFrame) -> DataFrame:
 
 
 def numbered(nodes: DataFrame) -> DataFrame:
-    """(id, name, label): nodes named n0, n1, ... by id. A drawing is one text, so that one task orders its nodes."""
-    place = F.row_number().over(Window.orderBy("id")) - 1
-    return nodes.select("id", F.concat(F.lit("n"), place.cast("string")).alias("name"), label("title", "id").alias("label"))
+    """(id, name, label): nodes named n0, n1, ... by id."""
+    return placed(nodes.select("id", label("title", "id").alias("label")), ["id"], "_place").select("id", F.concat(F.lit("n"), F.col("_place").cast("string")).alias("name"), "label")
 
 
-def _drawn(lines: DataFrame, head: str, foot: str) -> DataFrame:
-    """One row: lines (part, a, b, line) in order between ``head`` and ``foot``."""
-    ordered = F.array_sort(F.collect_list(F.struct("part", "a", "b", "line")))
-    text = F.concat(F.lit(head + "\n"), F.array_join(F.transform(ordered, lambda x: F.concat(x["line"], F.lit("\n"))), ""), F.lit(foot))
-    return lines.agg(text.alias("text"))
+def _ordered(lines: DataFrame) -> DataFrame:
+    """(place, line) of lines (part, a, b, line), numbered from 1 behind the drawing's head."""
+    return placed(lines, ["part", "a", "b"], "_place").select((F.col("_place") + 1).alias("place"), "line")
 
 
 def mermaid(lattice: Lattice, statuses: DataFrame) -> DataFrame:
-    """One row, ``text``."""
-    named = numbered(lattice.nodes)
+    """(place, line): the lines between head and foot, in the order of ``place``. A sink makes one text of them."""
+    named = cut(numbered(lattice.nodes))
     nodes = named.select(F.lit(0).alias("part"), F.col("id").alias("a"), F.lit("").alias("b"), F.concat(F.lit("    "), "name", F.lit('["'), mermaid_escape("label"), F.lit('"]')).alias("line"))
     up, down = named.select(F.col("id").alias("upstream"), F.col("name").alias("_up")), named.select(F.col("id").alias("downstream"), F.col("name").alias("_down"))
     arrow = F.when(F.col("stale"), " -.-> ").otherwise(" --> ")
     edges = collapsed(statuses).join(up, "upstream").join(down, "downstream")
-    return _drawn(nodes.union(edges.select(F.lit(1), "upstream", "downstream", F.concat(F.lit("    "), "_up", arrow, "_down"))), "graph TD", "")
+    return _ordered(nodes.union(edges.select(F.lit(1), "upstream", "downstream", F.concat(F.lit("    "), "_up", arrow, "_down"))))
 
 
 def dot(lattice: Lattice, statuses: DataFrame) -> DataFrame:
-    """One row, ``text``."""
+    """(place, line), as ``mermaid``."""
     quoted = lambda c: F.concat(F.lit('"'), dot_escape(c), F.lit('"'))
     nodes = lattice.nodes.select(F.lit(0).alias("part"), F.col("id").alias("a"), F.lit("").alias("b"), F.concat(F.lit("    "), quoted("id"), F.lit(" [label="), quoted(label("title", "id")), F.lit("];")).alias("line"))
     style = F.when(F.col("stale"), " [style=dashed];").otherwise(";")
     edges = collapsed(statuses).select(F.lit(1), "upstream", "downstream", F.concat(F.lit("    "), quoted("upstream"), F.lit(" -> "), quoted("downstream"), style))
-    return _drawn(nodes.union(edges), "digraph lattice {", "}\n")
+    return _ordered(nodes.union(edges))
+
+
+#: First and last lines of a drawing.
+MERMAID = ("graph TD", "")
+DOT = ("digraph lattice {", "}\n")
+
+
+def drawn(lines: DataFrame, frame: tuple[str, str]) -> Iterator[str]:
+    """Pieces of the one text that ``lines`` (place, line) make within a frame; rows come partition by partition."""
+    yield frame[0] + "\n"
+    for r in lines.orderBy("place").toLocalIterator():
+        yield r["line"] + "\n"
+    yield frame[1]
 
 
 def json_nodes(lattice: Lattice) -> DataFrame:

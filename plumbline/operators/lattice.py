@@ -93,6 +93,11 @@ def last_wins(raw_edges: DataFrame) -> DataFrame:
     return grouped.select("source_id", "pos", "target_ref", "_last.seen")
 
 
+def repeated(raw_edges: DataFrame) -> DataFrame:
+    """(source_id, target_ref, n) of references that a node gives more than once; ``last_wins`` keeps one of them."""
+    return raw_edges.groupBy("source_id", "target_ref").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def resolve(raw_edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Edges with their target's key and hash, null where there is none. This one join serves all that compares hashes later."""
     keys = targets.select("target_key", F.col("hash").alias("actual"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.errors import BrokenRef, ConfigError, DuplicateId, TicketError, ValidationError
+from plumbline import lineage
 from plumbline.operators import audit, authority, closure, drift, graph, lattice, reconcile
 
 STYLE = "intro\n# Style {#top}\n## Accent {#accent}\nred\n## Motion {#motion}\nslow\n"
@@ -69,8 +70,30 @@ def test_duplicate_keys_name_both_places(spark):
         lattice.build(twice, lattice.empty(spark)[1])
 
 
+def test_places_are_those_of_one_sort(spark):
+    df = spark.range(500).selectExpr("cast(id % 7 as string) as a", "id * 37 % 500 as b")
+    got = sorted((r.place, r.a, r.b) for r in lineage.placed(df.repartition(5), ["a", "b"], "place").collect())
+    assert got == [(k, *x) for k, x in enumerate(sorted((r.a, r.b) for r in df.collect()))]
+    assert lineage.placed(df.where("false"), ["a"], "place").count() == 0
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            sc = staticmethod(lambda: type("", (), {"getCheckpointDir": staticmethod(lambda: type("", (), {"isEmpty": staticmethod(lambda: True)}))}))
+
+    class Frame:
+        sparkSession = type("", (), {"sparkContext": Context, "conf": {}})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lineage.cut(Frame)
+
+
 def test_lint(made):
     found = authority.lint(made)
+    assert rows(authority.gate(found)) == [(True,)] and rows(authority.gate(found.where("kind = 'ok'"))) == [(False,)]
     assert sorted(rows(found, "source_id", "target_ref", "kind")) == [
         ("app", "page", "source-unannotated"),
         ("app", "style#motion", "source-unannotated"),
@@ -84,9 +107,10 @@ def test_lint(made):
     assert authority.skipped(found).count() == 3
 
 
-@pytest.mark.parametrize("driver", [0, 1000])
-def test_impact_has_least_depths_and_ends_on_cycles(made, monkeypatch, driver):
-    monkeypatch.setattr(closure, "DRIVER_PAIRS", driver)
+@pytest.mark.parametrize("few", [0, 1000])
+def test_impact_has_least_depths_and_ends_on_cycles(made, monkeypatch, few):
+    """Whether frontiers are broadcast or not."""
+    monkeypatch.setattr(closure, "small", lambda df: lineage.small(df, few))
     assert sorted(rows(closure.impact(made, "style#accent"), "id", "depth")) == [("app", 2), ("page", 1), ("sketch", 3), ("style", 4)]
     assert sorted(rows(closure.impact(made, "style"), "id", "depth")) == [("app", 1), ("page", 1), ("sketch", 2), ("style", 3)]
     assert sorted(rows(closure.impact(made, "style", 1), "id", "depth")) == [("app", 1), ("page", 1)]
@@ -98,9 +122,9 @@ def test_impact_has_least_depths_and_ends_on_cycles(made, monkeypatch, driver):
 def test_graph(made):
     statuses = drift.check(made)
     assert sorted(rows(graph.collapsed(statuses))) == [("app", "sketch", True), ("page", "app", True), ("sketch", "sketch", False), ("sketch", "style", False), ("style", "app", False), ("style", "page", True)]
-    text = graph.mermaid(made, statuses).first()["text"]
+    text = "".join(graph.drawn(graph.mermaid(made, statuses), graph.MERMAID))
     assert text.startswith('graph TD\n    n0["app"]\n    n1["page"]\n') and "    n3[\"The 'style'\"]\n" in text and text.endswith("    n3 --> n0\n    n3 -.-> n1\n")
-    dot = graph.dot(made, statuses).first()["text"]
+    dot = "".join(graph.drawn(graph.dot(made, statuses), graph.DOT))
     assert '    "style" [label="The \\"style\\""];\n' in dot and dot.endswith('    "style" -> "page" [style=dashed];\n}\n')
     data = json.loads(graph.json_graph(made, statuses))
     assert [n["id"] for n in data["nodes"]] == ["app", "page", "sketch", "style"] and data["edges"][0] == {"upstream": "app", "downstream": "sketch", "stale": True}
@@ -152,5 +176,5 @@ def test_an_empty_lattice(spark):
     none = lattice.build(*lattice.empty(spark))
     assert drift.check(none).count() == 0 and not drift.has_drift(drift.check(none))
     assert rows(drift.gate(drift.check(none))) == [(False,)]
-    assert graph.mermaid(none, drift.check(none)).first()["text"] == "graph TD\n"
+    assert "".join(graph.drawn(graph.mermaid(none, drift.check(none)), graph.MERMAID)) == "graph TD\n"
     assert audit.audit_trigger(none).count() == 0
