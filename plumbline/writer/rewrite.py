@@ -12,7 +12,10 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 import yaml
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import FrontmatterError, UnreadableDocument
 from ..sources import yaml12
@@ -318,4 +321,29 @@ def plan_rewrites(plan: dict[str, dict[str, str]], read: Callable[[str], bytes])
     return [r for path in sorted(plan) if (r := rewrite(path, read(path), plan[path]))]
 
 
-__all__ = ["Parts", "Rewrite", "apply", "line_ending", "plan_rewrites", "rewrite"]
+REWRITTEN = "path string, content binary, applied array<string>, error_code string, error_message string"
+
+
+def rewritten(files: DataFrame, planned: DataFrame) -> DataFrame:
+    """REWRITTEN of the files (path, content) that a plan (path, ref, new_seen) changes; what can't be rewritten is a row with its error.
+
+    The same as ``plan_rewrites``, where files and plan are too many for one machine. Files without a plan never leave the JVM.
+    """
+    plans = planned.groupBy("path").agg(F.map_from_entries(F.collect_set(F.struct("ref", "new_seen"))).alias("_plan"))
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("applied", pa.list_(pa.string())), ("error_code", pa.string()), ("error_message", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, content, plan in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    if done := rewrite(path, content or b"", dict(plan)):
+                        rows.append({"path": path, "content": done.after, "applied": sorted(done.applied)})
+                except (FrontmatterError, UnreadableDocument) as error:
+                    rows.append({"path": path, "error_code": error.code, "error_message": str(error)})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return files.select("path", "content").join(plans, "path").select("path", "content", "_plan").mapInArrow(run, REWRITTEN)
+
+
+__all__ = ["Parts", "REWRITTEN", "Rewrite", "apply", "line_ending", "plan_rewrites", "rewrite", "rewritten"]

@@ -15,7 +15,7 @@ import os
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 from ..errors import ConflictError, PersistenceError, ProjectError, ValidationError
@@ -39,12 +39,14 @@ class Selector:
 
 @dataclass(frozen=True)
 class Recovery:
-    action: str  # 'none', 'rolled-back' or 'cleaned'
-    restored: int = 0
-    already_before: int = 0
+    """What a recovery did ('none', 'rolled-back' or 'cleaned'), with whose transaction, and what it found."""
+
+    action: str
+    provenance: dict | None = None
+    undone: int = 0  # files set back
+    untouched: int = 0  # files that were as before
     unresolved: tuple[str, ...] = ()
     orphans: tuple[str, ...] = ()
-    provenance: dict | None = None
 
 
 def sha(data: bytes) -> str:
@@ -52,10 +54,14 @@ def sha(data: bytes) -> str:
 
 
 class Lock:
-    """Held while a project's files are written; from ``lock`` only."""
+    """Held while a project's files are written. Only ``lock`` gives one that is good for anything, and only as long as it lasts."""
 
     def __init__(self, root: Path):
-        self.root, self.active = root, True
+        self.root = root
+
+
+#: The locks that are held in this process.
+_leases: dict[int, Lock] = {}
 
 
 @contextmanager
@@ -68,14 +74,15 @@ def lock(root: Path) -> Iterator[Lock]:
             fcntl.flock(handle, fcntl.LOCK_EX | fcntl.LOCK_NB)
         except BlockingIOError:
             raise ConflictError(f"another run is writing in {str(root)!r}") from None
+        _leases[id(held)] = held
         yield held
     finally:
-        held.active = False
+        _leases.pop(id(held), None)
         os.close(handle)
 
 
-def _held(root: Path, held: Lock) -> None:
-    if not isinstance(held, Lock) or not held.active or held.root != root.resolve():
+def _held(root: Path, held: Lock | None) -> None:
+    if held is None or _leases.get(id(held)) is not held or held.root != root.resolve():
         raise PersistenceError("the project's lock isn't held")
 
 
@@ -85,6 +92,16 @@ def timestamp(value: dt.datetime) -> str:
     return value.astimezone(dt.UTC).isoformat().replace("+00:00", "Z")
 
 
+def _is_time(value: object) -> bool:
+    """Whether it is written like a time of a journal, and is one."""
+    if not isinstance(value, str) or not _TIME.fullmatch(value):
+        return False
+    try:
+        return dt.datetime.fromisoformat(value).utcoffset() == dt.timedelta(0)
+    except ValueError:
+        return False
+
+
 def parse_journal(data: bytes) -> dict:
     """A journal of version 1 or 2, checked strictly."""
     try:
@@ -102,7 +119,7 @@ def parse_journal(data: bytes) -> dict:
             raise PersistenceError("the journal has a malformed entry")
     if version == 2:
         p = j["provenance"]
-        if not isinstance(p, dict) or set(p) != {"created_at", "tool_version", "selector"} or not isinstance(p["created_at"], str) or not _TIME.fullmatch(p["created_at"]) or not p["tool_version"]:
+        if not isinstance(p, dict) or set(p) != {"created_at", "tool_version", "selector"} or not _is_time(p["created_at"]) or not isinstance(p["tool_version"], str) or not p["tool_version"]:
             raise PersistenceError("the journal's provenance is malformed")
         s = p["selector"]
         if not isinstance(s, dict) or set(s) != {"mode", "downstream_id", "ref"} or s["mode"] not in ("all", "downstream") or (s["mode"] == "downstream") != bool(s["downstream_id"]):
@@ -178,18 +195,28 @@ def commit(root: Path, rewrites: list[Rewrite], selector: Selector, held: Lock,
         _drop(staged)
         raise
     done = _entries(root, body)
+    marking = False
     try:
         for e in done:
             if not _authentic(e["destination"], e["before_sha256"]):
                 raise ConflictError(f"{str(e['destination'])!r} has changed since it was read")
             files.replace(e["after_path"], e["destination"])
+        marking = True
         files.write(journal, _dump(body | {"state": "committed"}), "journal")
     except (ProjectError, OSError) as error:
-        result = _roll_back(root, body)
+        try:
+            if marking:  # the mark may be on disk although writing it failed; a rollback that is interrupted must not find it
+                files.write(journal, _dump(body), "journal")
+            result = _roll_back(root, body)
+        except OSError as worse:
+            raise PersistenceError(f"{error}; undoing it failed too: {worse}; recover it first") from error
         tail = f"; can't restore {', '.join(result.unresolved)}, see {JOURNAL}" if result.unresolved else ""
         kind = type(error) if isinstance(error, ProjectError) else PersistenceError
         raise kind(f"{error}; nothing was changed{tail}" if not tail else f"{error}{tail}") from error
-    _clean(root, body)
+    try:
+        _clean(root, body)
+    except OSError as error:
+        raise PersistenceError(f"all files are written, but what was staged for them can't be removed: {error}; recover it") from error
 
 
 def _dump(body: dict) -> bytes:
@@ -222,7 +249,7 @@ def _roll_back(root: Path, j: dict) -> Recovery:
             unresolved.append(str(e["destination"].relative_to(root)))
     if not unresolved:
         _clean(root, j)
-    return Recovery("rolled-back", restored, already, tuple(unresolved), provenance=j.get("provenance"))
+    return Recovery("rolled-back", j.get("provenance"), restored, already, tuple(unresolved))
 
 
 def orphans(root: Path, j: dict | None = None) -> tuple[str, ...]:
@@ -240,8 +267,8 @@ def recover(root: Path, held: Lock) -> Recovery:
     j = parse_journal(journal.read_bytes())
     if j["state"] == "committed":
         _clean(root, j)
-        return Recovery("cleaned", orphans=orphans(root), provenance=j.get("provenance"))
+        return Recovery("cleaned", j.get("provenance"), orphans=orphans(root))
     result = _roll_back(root, j)
     if result.unresolved:
         raise PersistenceError(f"can't restore {', '.join(result.unresolved)}: neither what was read nor what was written")
-    return Recovery(result.action, result.restored, result.already_before, orphans=orphans(root), provenance=result.provenance)
+    return replace(result, orphans=orphans(root))

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from plumbline.errors import ConflictError, FrontmatterError, PersistenceError, ProjectError, UnreadableDocument
 from plumbline.sources import yaml12
 from plumbline.writer import files, transaction
-from plumbline.writer.rewrite import apply, plan_rewrites, rewrite
+from plumbline.writer.rewrite import apply, plan_rewrites, rewrite, rewritten
 
 HEX, DIGITS = "a" * 31 + "f", "1" * 32
 
@@ -163,7 +163,7 @@ def test_recovery_after_a_crash(tmp_path, monkeypatch, crash_at):
         transaction.ensure_no_journal(tmp_path)
     with transaction.lock(tmp_path) as held:
         result = transaction.recover(tmp_path, held)
-    assert result.action == "rolled-back" and result.restored == crash_at - 1 and result.provenance["selector"]["mode"] == "all"
+    assert result.action == "rolled-back" and result.undone == crash_at - 1 and result.provenance["selector"]["mode"] == "all"
     assert HEX not in (tmp_path / "a.md").read_text() + (tmp_path / "b.md").read_text() and left(tmp_path) == ["a.md", "b.md"]
 
 
@@ -199,7 +199,69 @@ def test_journals_of_both_versions(tmp_path):
             transaction.recover(tmp_path, held)
 
 
+def test_a_lock_can_not_be_made_by_hand(tmp_path):
+    with transaction.lock(tmp_path) as held:
+        pass
+    for some in (held, transaction.Lock(tmp_path.resolve()), None):
+        with pytest.raises(PersistenceError):
+            transaction.recover(tmp_path, some)
+
+
+@pytest.mark.parametrize("when", ["2026-13-01T00:00:00Z", "2026-02-30T00:00:00Z", "2026-01-01T25:00:00Z", 5])
+def test_a_journal_has_a_real_time(when):
+    j = {"version": 2, "state": "prepared", "entries": [], "provenance": {"created_at": when, "tool_version": "1", "selector": {"mode": "all", "downstream_id": None, "ref": None}}}
+    with pytest.raises(PersistenceError):
+        transaction.parse_journal(json.dumps(j).encode())
+
+
+def test_a_mark_whose_writing_fails_is_taken_back(tmp_path, monkeypatch):
+    rewrites = setup(tmp_path)
+    real, seen = files.write, []
+
+    def write(path, data, role):
+        real(path, data, role)
+        if path.name == transaction.JOURNAL:
+            seen.append(json.loads(data)["state"])
+            if seen[-1] == "committed":
+                raise OSError("disk")
+
+    monkeypatch.setattr(files, "write", write)
+    with transaction.lock(tmp_path) as held, pytest.raises(PersistenceError):
+        transaction.commit(tmp_path, rewrites, EVERY, held)
+    assert seen == ["committed", "prepared"]
+    assert HEX not in (tmp_path / "a.md").read_text() + (tmp_path / "b.md").read_text() and left(tmp_path) == ["a.md", "b.md"]
+
+
+def test_leftovers_of_a_written_transaction_are_reported(tmp_path, monkeypatch):
+    rewrites = setup(tmp_path)
+    monkeypatch.setattr(files, "unlink", lambda *_: (_ for _ in ()).throw(OSError("busy")))
+    with transaction.lock(tmp_path) as held, pytest.raises(PersistenceError, match="all files are written"):
+        transaction.commit(tmp_path, rewrites, EVERY, held)
+    monkeypatch.undo()
+    with transaction.lock(tmp_path) as held:
+        assert transaction.recover(tmp_path, held).action == "cleaned"
+    assert HEX in (tmp_path / "a.md").read_text() and left(tmp_path) == ["a.md", "b.md"]
+
+
 def test_times_are_utc():
     assert transaction.timestamp(datetime(2026, 1, 2, tzinfo=UTC)) == "2026-01-02T00:00:00Z"
     with pytest.raises(ProjectError):
         transaction.timestamp(datetime(2026, 1, 2))
+
+
+def test_a_plan_over_a_table_is_the_plan_over_files(spark):
+    texts = {
+        "a.md": doc("derives_from:\n- ref: a\n- {ref: b, seen: old}\n").encode(),
+        "b.md": doc("derives_from: [{ref: a, seen: x}]\n").replace("\n", "\r\n").encode(),
+        "c.md": doc("derives_from: []\n").encode(),
+        "d.md": b"\xff",
+        "e.md": b"none",
+    }
+    plan = {"a.md": {"a": HEX, "b": DIGITS}, "b.md": {"a": HEX}, "c.md": {"a": HEX}, "d.md": {"a": HEX}, "gone.md": {"a": HEX}}
+    files_ = spark.createDataFrame(list(texts.items()), "path string, content binary")
+    planned = spark.createDataFrame([(p, r, h) for p, some in plan.items() for r, h in some.items()], "path string, ref string, new_seen string")
+    got = {r.path: r for r in rewritten(files_, planned).collect()}
+    want = {r.path: r for r in plan_rewrites({p: plan[p] for p in ("a.md", "b.md", "c.md")}, texts.__getitem__)}
+    assert {p: (bytes(r.content), frozenset(r.applied)) for p, r in got.items() if r.content} == {p: (r.after, r.applied) for p, r in want.items()} and set(want) == {"a.md", "b.md"}
+    assert got["d.md"].error_code == UnreadableDocument("", "").code and set(got) == {"a.md", "b.md", "d.md"}
+    assert rewritten(files_, planned.where("false")).count() == 0
