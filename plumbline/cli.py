@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .errors import DocumentError, ProjectError, ValidationError, WarningAsError
 from .operators import audit, authority, closure, drift, graph, reconcile
+from .lineage import cut
 from .operators.lattice import Lattice
 from .scaffold import default_branch, scaffold
 from .sources import config, documents, sinks, snapshot, tickets
@@ -33,11 +34,11 @@ def load(spark: SparkSession, project: config.Project, verified: bool = False) -
     key = project.config.cache_key
     if key is None:
         return documents.assemble(parsed(files))
-    at = str(Path(os.environ.get("XDG_CACHE_HOME", Path.home() / ".cache")) / "plumbline" / key)
-    before = snapshot.load(spark, at)
-    docs = snapshot.refresh(files, before, project.config.cache_trust_stat and not verified)
-    lattice = documents.assemble(docs)
-    snapshot.save_if_changed(docs, before, at)
+    at, root = str(Path(os.environ.get("XDG_CACHE_HOME", Path.home() / ".cache")) / "plumbline" / key), str(project.root)
+    before = snapshot.load(spark, at, VERSION)
+    docs = cut(snapshot.refresh(files, before, project.config.cache_trust_stat and not verified, root))
+    lattice = documents.assemble(snapshot.of_root(docs, root))
+    snapshot.save_if_changed(docs, before, at, root, VERSION)
     return lattice
 
 
@@ -84,10 +85,17 @@ def _print(lines: Iterable[str]) -> None:
         print(line)
 
 
-def _prefix(project: config.Project) -> str:
-    """From the workspace, or the current directory, to the project."""
-    base = Path(os.environ.get("GITHUB_WORKSPACE") or Path.cwd()).resolve()
-    return f"{project.root.relative_to(base)}/".removeprefix("./") if project.root != base and project.root.is_relative_to(base) else ""
+def _places(root: Path | str) -> sinks.Places:
+    bases = [Path(b).resolve() for b in (os.environ.get("GITHUB_WORKSPACE"), Path.cwd()) if b]
+    return sinks.Places(str(root), tuple(map(str, bases)))
+
+
+def _annotate(annotated: DataFrame) -> None:
+    """Workflow commands on stdout, which has nothing else; a warning on stderr of those that can't be shown."""
+    annotated = cut(annotated)
+    _print(r["line"] for r in annotated.toLocalIterator())
+    for line in sinks.unattachable(annotated):
+        print(f"warning: {line}", file=sys.stderr)
 
 
 def _check(args, spark, project) -> int:
@@ -97,7 +105,7 @@ def _check(args, spark, project) -> int:
     if args.format == "json":
         print(sinks.dumps(sinks.check_json(statuses, shown), args.indent))
     elif args.format == "github":
-        _print(r["line"] for r in sinks.check_annotations(shown, lattice.nodes, _prefix(project)).toLocalIterator())
+        _annotate(sinks.check_annotations(shown, lattice.nodes, _places(project.root)))
     else:
         _print(sinks.check_lines(statuses, shown if args.only else drift.problems(shown)))
     return int(drift.has_drift(statuses))
@@ -109,7 +117,7 @@ def _lint(args, spark, project) -> int:
     if args.format == "json":
         print(sinks.dumps(sinks.lint_json(found), args.indent))
     elif args.format == "github":
-        _print(r["line"] for r in sinks.lint_annotations(found, lattice.nodes, _prefix(project)).toLocalIterator())
+        _annotate(sinks.lint_annotations(found, lattice.nodes, _places(project.root)))
     else:
         _print(sinks.lint_lines(found))
     return int(not authority.violations(found).isEmpty())
@@ -130,7 +138,9 @@ def _graph(args, spark, project) -> int:
     if args.format == "json":
         print(graph.json_graph(lattice, statuses, args.indent))
     else:
-        print((graph.mermaid if args.format == "mermaid" else graph.dot)(lattice, statuses).first()["text"], end="")
+        draw, frame = (graph.mermaid, graph.MERMAID) if args.format == "mermaid" else (graph.dot, graph.DOT)
+        for piece in graph.drawn(draw(lattice, statuses), frame):
+            print(piece, end="")
     return 0
 
 
@@ -140,8 +150,12 @@ def _reconcile(args, spark, project) -> int:
     if args.recover:
         with transaction.lock(project.root) as held:
             result = transaction.recover(project.root, held)
-        payload = {"action": result.action, "restored": result.restored, "already_before": result.already_before, "orphans": list(result.orphans), "provenance": result.provenance}
-        print(sinks.dumps(payload, args.indent) if args.format == "json" else f"{result.action}: {result.restored} restored, {result.already_before} unchanged")
+        payload = {"action": result.action, "restored": result.undone, "already_before": result.untouched, "orphans": list(result.orphans), "provenance": result.provenance}
+        if args.format == "json":
+            print(sinks.dumps(payload, args.indent))
+        else:
+            said = result.provenance and f" (written {result.provenance['created_at']} by {result.provenance['tool_version']})" or ""
+            _print([f"{result.action}: {result.undone} restored, {result.untouched} unchanged{said}", *(f"left over, named by no journal: {o!r}" for o in result.orphans)])
         return 0
     if bool(args.id) == bool(args.all):
         raise ValidationError("name a document or use --all")
@@ -219,14 +233,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except ProjectError as error:
         print(f"error ({error.code}): {error}", file=sys.stderr)
         if isinstance(error, DocumentError) and error.path and getattr(args, "format", "") == "github":
-            escaped = str(error).replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
-            print(f"::error file={error.path},title={error.code}::{escaped}")
+            print(sinks.document_annotation(error.path, error.code, str(error)))
         return 2
     except BrokenPipeError:
-        os.dup2(os.open(os.devnull, os.O_WRONLY), sys.stdout.fileno())
+        # Whichever reader is gone, nothing more is written to either stream, at exit neither.
+        for stream in (sys.stdout, sys.stderr):
+            try:
+                os.dup2(os.open(os.devnull, os.O_WRONLY), stream.fileno())
+            except (OSError, ValueError):
+                pass
         return 141
 
 
-
 if __name__ == "__main__":
     sys.exit(main())

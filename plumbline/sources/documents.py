@@ -42,12 +42,29 @@ def raise_first(docs: DataFrame) -> None:
         raise BY_CODE[bad["error_code"]](bad["error_message"], bad["path"])
 
 
+def questionable(docs: DataFrame) -> DataFrame:
+    """(path, kind, what) of PARSED documents that are skipped or odd: 'id-less', 'reused-anchor', and 'repeated-edge' for each reference
+    that a document gives more than once (``what`` is id and reference). A narrow transformation."""
+    refs = F.coalesce(F.transform("derives_from", lambda e: e["ref"]), F.array().cast("array<string>"))
+    said = lambda on, kind, what: F.when(on, F.array(F.struct(F.lit(kind).alias("kind"), what.alias("what")))).otherwise(F.array().cast("array<struct<kind:string,what:string>>"))
+    none = F.lit(None).cast("string")
+    # References are counted only where some must be repeated.
+    again = F.when(F.size(F.array_distinct(refs)) < F.size(refs), F.array_distinct(F.filter(refs, lambda r: F.size(F.filter(refs, lambda x: x == r)) > 1))).otherwise(F.array().cast("array<string>"))
+    edges = F.transform(again, lambda r: F.struct(F.lit("repeated-edge").alias("kind"), F.concat_ws(" ", "id", r).alias("what")))
+    every = F.concat(said(F.col("disposition") == "id-less", "id-less", none), said(F.coalesce("reused_anchors", F.lit(False)), "reused-anchor", none), edges)
+    return docs.select("path", F.explode(every).alias("w")).select("path", "w.kind", "w.what")
+
+
 def warn(docs: DataFrame) -> list[str]:
     """Warnings about documents that are skipped or questionable, in the order of paths."""
     said = []
-    for r in docs.where("disposition = 'id-less' or reused_anchors").select("path", "disposition").orderBy("path").toLocalIterator():
-        why = "has frontmatter without an id and is skipped" if r["disposition"] == "id-less" else "defines an anchor name more than once"
-        said.append(f"{r['path']!r} {why}")
+    for r in questionable(docs).orderBy("path", "kind", "what").toLocalIterator():
+        if r["kind"] == "repeated-edge":
+            source, _, ref = r["what"].partition(" ")
+            said.append(f"{source!r} refers to {ref!r} more than once; the last one counts")
+        else:
+            why = "has frontmatter without an id and is skipped" if r["kind"] == "id-less" else "defines an anchor name more than once"
+            said.append(f"{r['path']!r} {why}")
     for line in said:
         warnings.warn(line, stacklevel=2)
     return said

@@ -39,6 +39,13 @@ def build_query(team: str, numbers: list[int]) -> dict:
     return {"query": _QUERY, "variables": {"key": team, "wanted": numbers}}
 
 
+def requests(batches: DataFrame) -> DataFrame:
+    """(team, batch, body) of ``ticket_batches``: the JSON that each request carries, as ``build_query`` makes it."""
+    wanted = F.transform(F.split("numbers", ","), lambda n: n.cast("decimal(38,0)"))
+    body = F.struct(F.lit(_QUERY).alias("query"), F.struct(F.col("team").alias("key"), wanted.alias("wanted")).alias("variables"))
+    return batches.select("team", "batch", F.to_json(body).alias("body"))
+
+
 def parse_responses(responses: DataFrame) -> DataFrame:
     """(ticket_ref, ticket) of (team, response). A ticket goes by the number that was asked for, not by its current name.
 

@@ -1,5 +1,6 @@
 import json
 import time
+import warnings
 from pathlib import Path
 
 import pytest
@@ -124,15 +125,60 @@ def test_a_snapshot_gives_what_reading_all_gives(spark, tmp_path):
     (tmp_path / "docs/plain.md").write_text("---\nid: p\n---\n# new\n")
     (tmp_path / "docs/other.md").unlink()
     files = documents.read_files(spark, p)
+    assert snapshot.load(spark, at, "another version") is None and snapshot.roots(at) == [""]
     for trust in (False, True):
         before = snapshot.load(spark, at)
         hits = {r.path: r.hit for r in snapshot.lookup(files, before, trust).collect()}
         assert hits == {"docs/a b.md": True, "docs/b[1].md": True, "docs/plain.md": False}
-        assert key(snapshot.refresh(files, before, trust)) == key(snapshot.refresh(files, None))
+        assert key(snapshot.of_root(snapshot.refresh(files, before, trust))) == key(snapshot.refresh(files, None))
     again = snapshot.refresh(files, before)
     assert snapshot.save_if_changed(again, before, at) and not snapshot.save_if_changed(snapshot.load(spark, at), snapshot.load(spark, at), at)
     (Path(at) / "current.json").write_text("{")
-    assert snapshot.load(spark, at) is None
+    assert snapshot.load(spark, at) is None and snapshot.roots(at) == []
+
+
+def test_roots_share_a_snapshot(spark, tmp_path, capsys):
+    at = str(tmp_path / "cache")
+    made = {}
+    for root, text in (("one", "same"), ("two", "same"), ("two", "new")):
+        (tmp_path / root).mkdir(exist_ok=True)
+        p = project(tmp_path / root, {"docs/a.md": f"---\nid: a\n---\n{text}", f"docs/{root}.md": "---\nid: x\n---\n"})
+        files = documents.read_files(spark, p)
+        before = snapshot.load(spark, at)
+        made[root] = snapshot.refresh(files, before, True, root)
+        assert {r.path for r in snapshot.of_root(made[root], root).collect()} == {"docs/a.md", f"docs/{root}.md"}
+        assert snapshot.save_if_changed(made[root], before, at, root)
+    claims = {r.path: sorted(r.stats) for r in snapshot.load(spark, at).collect()}
+    assert claims == {"docs/a.md": ["two"], "docs/one.md": ["one"], "docs/two.md": ["two"]} and snapshot.roots(at) == ["one", "two"]
+    # A document that changed in one checkout is read again in the other.
+    files = documents.read_files(spark, project(tmp_path / "one", {}))
+    assert {r.path: r.hit for r in snapshot.lookup(files, snapshot.load(spark, at), True, "one").collect()} == {"docs/a.md": False, "docs/one.md": True}
+    assert len(list((tmp_path / "cache").glob("data-*"))) == 2
+    (tmp_path / "file").write_text("")
+    assert not snapshot.save(made["one"], str(tmp_path / "file"))
+    assert capsys.readouterr().err.count("could not be written") == 1
+
+
+def test_what_is_questionable(spark):
+    rows = [("b.md", "---\nkind: x\n---\n"), ("a.md", "---\nid: a\ntitle: &t x\nlayer: &t design\nderives_from:\n- ref: b\n- ref: c\n- ref: b\n- ref: b\n---\n"), ("c.md", ""), ("d.md", "---\nid: [\n---\n")]
+    docs = parsed(spark.createDataFrame([(p, t.encode()) for p, t in rows], "path string, content binary"))
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        documents.warn(docs)
+    assert [str(w.message) for w in said] == ["'a.md' defines an anchor name more than once" if "anchor" in str(w.message) else str(w.message) for w in said]
+    assert sorted((r.path, r.kind, r.what) for r in documents.questionable(docs).collect() if r.kind != "reused-anchor") == [("a.md", "repeated-edge", "a b"), ("b.md", "id-less", None)]
+    assert any("'a' refers to 'b' more than once" in str(w.message) for w in said) and any("'b.md'" in str(w.message) for w in said)
+
+
+def test_annotations_are_relative_to_the_first_base_that_holds_them(spark):
+    from plumbline.sources import sinks
+
+    rows = spark.createDataFrame([("docs/a:1.md", "t", "50%\nm"), ("/w/x.md", "t", "m"), ("/else/y.md", "t", "m")], "path string, title string, message string")
+    got = sinks.annotations(rows, sinks.Places("/w/p", ("/w/p/docs", "/w")))
+    assert [r.line for r in got.collect()] == ["::error file=a%3A1.md,title=t::50%25%0Am", "::error file=x.md,title=t::m", "::error file=/else/y.md,title=t::m"]
+    (said,) = sinks.unattachable(got)
+    assert said.startswith("1 annotated") and said.endswith("'/else/y.md'") and not list(sinks.unattachable(got.where("place like 'a%'")))
+    assert sinks.document_annotation("a,b:c%", "CODE", "x\r\ny%") == "::error file=a%2Cb%3Ac%25,title=CODE::x%0D%0Ay%25"
 
 
 def test_roots_are_forgotten_in_order(spark):
@@ -208,14 +254,36 @@ def test_the_client_waits_and_gives_up():
 
 
 def test_links(spark):
-    docs = spark.createDataFrame([("a/x.md", "# Top\n[1](y.md) [2](y.md#there) [3](y.md#lost) [4](../../z) [5](gone.md)\n[6](#top) [7](https://e.org) <a href=\"no.md\">\n```\n[8](never.md)\n```\n`[9](never.md)`"), ("a/y.md", "## There\n"), ("a/n.md", None)], "path string, body string")
+    docs = spark.createDataFrame([("a/x.md", "# Top\n[1](y.md) [2](y.md#there) [3](y.md#lost) [4](../../z) [5](gone.md)\n[6](#top) [7](https://e.org) ![8](image.png) <a href=\"no.md\">\n\n```\n[8](never.md)\n```\n`[9](never.md)`"), ("a/y.md", "## There\n"), ("a/n.md", None)], "path string, body string")
     heads = docs.select(F.col("path").alias("file_id"), F.inline(file_sections(F.coalesce("body", F.lit("")))))
     got = sorted(tuple(r) for r in links.broken(docs, heads, docs.select("path")).collect())
-    assert got == [("a/x.md", "../../z", "escapes"), ("a/x.md", "gone.md", "no such file"), ("a/x.md", "no.md", "no such file"), ("a/x.md", "y.md#lost", "no such heading")]
+    assert got == [("a/x.md", 2, "../../z", "escapes"), ("a/x.md", 2, "gone.md", "no such file"), ("a/x.md", 2, "y.md#lost", "no such heading")]
+    assert [tuple(r) for r in links.anchor_lines(docs).collect()] == [("a/x.md", 2)]
     pages = spark.createDataFrame([(1, '<a href="x">a</a><A class=z HREF=\'y\'>'), (2, None)], "i int, h string")
     assert [r.n_anchors for r in links.raw_anchors(pages, "i", "h").orderBy("i").collect()] == [2, 0]
 
 
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        ("[a](b.md)", [(1, "b.md")]),
+        ("x\n[a](<b c.md> 'title')\n\n> [q](r)", [(1, "b c.md"), (4, "r")]),
+        ("[one][R] [two][] [three] [four]\n\n[r]: to.md\n[two]: <t 2.md> \"x\"\n[three]: 3.md\n[r]: never.md", [(1, "to.md"), (1, "t 2.md"), (1, "3.md")]),
+        ("`[a](b)` ``[c](`d)`` ![i](j.png) \\[k](l)", []),
+        ("    [code](x.md)\n\n~~~\n[y](z)\n```\n~~~\n# [h](i.md)\n[j](k(1).md)", [(7, "i.md"), (8, "k(1).md")]),
+        ("<https://e.org/x> [![img](a.png)](b.md)", [(1, "https://e.org/x"), (1, "b.md")]),
+        ("[a]()\n[b](c\r\nd", []),
+    ],
+)
+def test_links_of_a_body(body, want):
+    assert links.extract(body) == want
+
+
+def test_raw_anchors_by_line():
+    body = "<a href=x>1</a> <a name=y>\n<!-- <a href=no> -->\n\n`<a href=z>`\n\n<A HREF='u'><a href=v>"
+    assert links.anchors(body) == [1, 6, 6]
+
+
 def test_a_stream_judges_the_latest_versions(spark, tmp_path):
     from plumbline.streaming import monitor
 
