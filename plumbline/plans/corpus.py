@@ -1,7 +1,9 @@
 """A corpus with structure, made of tables that have none, so that every operator has rows to work on.
 
 Each document becomes a node. Every fifth line of its text becomes a heading, every second of these with an explicit marker;
-references, hashes last seen and tickets follow from the document's number. ``ORACLE`` says the same in DuckDB's SQL.
+behind the text of some follow lines that make things hard: fences with what looks like headings, slugs that collide with others' numbers,
+characters beyond ASCII, an anchor that is given twice. References (some of them given twice), hashes last seen and tickets follow
+from the document's number. ``ORACLE`` says the same in DuckDB's SQL. Documents without an id, which nothing could name, are left out.
 """
 
 from __future__ import annotations
@@ -19,6 +21,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lines behind the text of every ``n``th document: (line, and if it is a heading: level, text, marker).
+HARD: dict[int, tuple[tuple[str, int | None, str, str | None], ...]] = {
+    6: (
+        ("```text", None, "", None),
+        ("# not a heading", None, "", None),
+        ("~~~", None, "", None),
+        ("```", None, "", None),
+        ("# Notes", 1, "Notes", None),
+        ("## Notes ##", 2, "Notes", None),
+        ("# Notes {#n}", 1, "Notes {#n}", "n"),
+        ("#Notes", None, "", None),
+        ("# Notes-1", 1, "Notes-1", None),
+        ("## Notes", 2, "Notes", None),
+        ("#", 1, "", None),
+        ("# \u00dcn\u00efcode Stra\u00dfe \u2460 7_b", 1, "\u00dcn\u00efcode Stra\u00dfe \u2460 7_b", None),
+        ("plain", None, "", None),
+    ),
+    8: (("# First {#dup}", 1, "First {#dup}", "dup"), ("one", None, "", None), ("# Second {#dup}", 1, "Second {#dup}", "dup"), ("two", None, "", None)),
+    9: (("   ~~~~ x", None, "", None), ("# in a fence that is never closed", None, "", None)),
+}
+
+
 def _line(line: Column, i: Column) -> Column:
     marker = F.when(i % 10 == 0, F.concat(F.lit(" {#l"), (i + 1).cast("string"), F.lit("}"))).otherwise("")
     hashes = F.when(F.floor(i / 5) % 3 == 0, "# ").when(F.floor(i / 5) % 3 == 1, "## ").otherwise("### ")
@@ -31,6 +55,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split(F.translate(F.coalesce("text", F.lit("")), "#{}", "   "), "\n", -1)
     ticket = lambda x: F.concat(F.lit(f"{TEAM}-"), x.cast("string"))
     odd = lambda n, ref: F.when(k % n == 0, F.array(F.lit(ref))).otherwise(F.array().cast("array<string>"))
+    hard = [F.when(k % n == 0, F.array(*[F.lit(x[0]) for x in some])).otherwise(F.array().cast("array<string>")) for n, some in HARD.items()]
     docs = table(spark, sf_dir, "documents").where("doc_id is not null")
     cores = spark.sparkContext.defaultParallelism
     if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores:
@@ -41,22 +66,66 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(F.lit("design"), F.lit("technical"), F.lit("production")), (k % 3 + 1).cast("int")).alias("layer"),
         F.when(k % 4 == 0, "exploratory").when(k % 4 == 1, "derived").when(k % 4 == 2, "binding").alias("authority"),
         F.concat(F.lit("docs/"), F.coalesce("lang", F.lit("xx")), F.lit("/"), name, F.lit(".md")).alias("path"),
-        F.array_join(F.transform(lines, _line), "\n").alias("body"),
+        F.array_join(F.concat(F.transform(lines, _line), *hard), "\n").alias("body"),
         F.concat(F.array(ticket(k * 4), ticket(k * 4 + 1), ticket(k * 4)), odd(9, "eng-7"), odd(10, f"{TEAM}-007"), odd(12, "SEC-9")).alias("tickets"),
     )
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, path, length, modificationTime, content): each document as a file, with frontmatter of every kind."""
+    """(doc_id, path, length, modificationTime, content): each document as a file, with frontmatter of every kind.
+
+    Every fourth gives its first reference twice, every sixth names two nodes of its YAML alike.
+    """
     k = F.col("doc_id")
     number = k.cast("string")
-    tracked = F.concat(F.lit("---\nid: doc-"), number, F.lit("\nauthority: derived\nderives_from:\n- ref: doc-"), number, F.lit("\n- {ref: 'doc-0#l1', seen: null}\ntickets: [ENG-"), number, F.lit("]\n---\n"))
+    again = F.when(k % 4 == 1, F.concat(F.lit("- {seen: old, ref: doc-"), number, F.lit("}\n"))).otherwise("")
+    named = F.when(k % 6 == 2, "&t ").otherwise("")
+    title = F.when(k % 6 == 2, "title: &t T\n").otherwise("")
+    tracked = F.concat(F.lit("---\nid: doc-"), number, F.lit("\n"), title, F.lit("authority: derived\nderives_from:\n- ref: doc-"), number, F.lit("\n- {ref: 'doc-0#l1', seen: null}\n"), again, F.lit("tickets: ["), named, F.lit("ENG-"), number, F.lit("]\n---\n"))
     head = F.when(k % 10 == 9, "---\nid: x\nowner: nobody\n---\n").when(k % 10 == 8, "---\nkind: note\n---\n").when(k % 10 == 7, "").otherwise(tracked)
     content = F.concat(head, F.coalesce("text", F.lit(""))).cast("binary")
     made = table(spark, sf_dir, "documents").where("doc_id is not null")
     return made.select("doc_id", F.concat(F.lit("docs/"), number, F.lit(".md")).alias("path"), F.length(content).cast("long").alias("length"), F.timestamp_seconds(k).alias("modificationTime"), content.alias("content"))
 
 
+def malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): each document as a file with something wrong with it, but every sixth."""
+    k = F.col("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    framed = lambda meta: F.concat(F.lit(f"---\n{meta}\n---\n"), text).cast("binary")
+    content = (
+        F.when(k % 6 == 1, F.concat(text.cast("binary"), F.lit(b"\xff")))
+        .when(k % 6 == 2, F.concat(F.lit("---\nid: x\n"), text).cast("binary"))
+        .when(k % 6 == 3, framed("id: x\nowner: nobody\nderives_from: [{ref: y, sen: z}]"))
+        .when(k % 6 == 4, framed("id: 5\nlayer: lower\ntickets: T-1"))
+        .when(k % 6 == 5, framed("tickets: [T-1]"))
+        .otherwise(framed("id: x"))
+    )
+    return table(spark, sf_dir, "documents").where("doc_id is not null").select(F.concat(F.lit("docs/"), k.cast("string"), F.lit(".md")).alias("path"), content.alias("content"))
+
+
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, body): each page as a document whose links lead to others, some by reference, some to nowhere, some in code."""
+    k, n = F.col("page_id"), F.lit(7)
+    number = k.cast("string")
+    body = F.concat(
+        F.lit("# Page\n\nSee [one]("), (k + n).cast("string"), F.lit(".md#page) and `[no](code.md)`,\nor [two][r].\n\n```\n[not](fence.md)\n```\n## Ends\n<a href='x'>raw</a> ![i](i.png) [three](../../far.md)\n\n[r]: ../k/"),
+        number, F.lit(".md#lost 'title'\n"),
+    )
+    return table(spark, sf_dir, "pages").where("page_id is not null").select(F.concat(F.lit("k/"), number, F.lit(".md")).alias("path"), body.alias("body"))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(team, response): orders as the tracker's JSON, fifty to a response, with control characters in what people may type."""
+    ref = F.concat(F.lit(f"{TEAM}-"), F.col("o_orderkey").cast("string"))
+    state = F.struct(F.concat(F.lit("\u0007"), "o_orderstatus").alias("name"), F.lit("started").alias("type"))
+    child = F.struct(F.concat(ref, F.lit("a")).alias("identifier"), F.lit("part\u0000").alias("title"), state.alias("state"))
+    children = F.when(F.col("o_orderkey") % 3 == 0, F.array(child)).otherwise(F.array())
+    node = F.struct(ref.alias("identifier"), F.col("o_orderkey").alias("number"), F.concat(F.lit("Order\u001b "), "o_orderpriority").alias("title"), F.concat(F.lit("https://t.invalid/"), ref).alias("url"), state.alias("state"), F.struct(children.alias("nodes")).alias("children"))
+    asked = table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 50)).agg(F.collect_list(node).alias("nodes"))
+    return asked.select(F.lit(TEAM).alias("team"), F.to_json(F.struct(F.struct(F.struct("nodes").alias("issues")).alias("data"))).alias("response"))
+
+
 def raw_edges(spark: SparkSession, sf_dir: str, targets: DataFrame) -> DataFrame:
     """References and what was last seen: nothing, something else, or the target as it is now."""
     docs = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id")
@@ -127,27 +196,51 @@ def hash_sql(x: str) -> str:
     return f"substr(sha256({canonical_sql(x)}), 1, 32)"
 
 
+def _hard_sql() -> str:
+    quote = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return ", ".join(f"({n}, {k}, {', '.join(map(quote, line))})" for n, some in HARD.items() for k, line in enumerate(some))
+
+
 ORACLE = rf"""
-with recursive docs as (
+with recursive docs0 as (
   select doc_id, 'doc-' || doc_id as id, case when doc_id % 7 <> 0 then 'Title "' || doc_id || '"' end as title,
     case doc_id % 3 when 0 then 'design' when 1 then 'technical' else 'production' end as layer,
     case doc_id % 4 when 0 then 'exploratory' when 1 then 'derived' when 2 then 'binding' end as authority,
     'docs/' || coalesce(lang, 'xx') || '/doc-' || doc_id || '.md' as path,
     list_transform(string_split(translate(coalesce(text, ''), '#{{}}', '   '), chr(10)), lambda l, i:
-      case when i % 5 = 1 then repeat('#', cast(1 + (i // 5) % 3 as int)) || ' ' || l || case when i % 10 = 1 then ' {{#l' || i || '}}' else '' end else l end) as built
+      case when i % 5 = 1 then repeat('#', cast(1 + (i // 5) % 3 as int)) || ' ' || l || case when i % 10 = 1 then ' {{#l' || i || '}}' else '' end else l end) as own
   from documents where doc_id is not null),
+hard as (select * from (values {_hard_sql()}) h(n, k, line, level, text, marker)),
+behind as (
+  select doc_id, list(h.line order by n, k) as more, list({{'level': level, 'text': h.text, 'marker': marker}} order by n, k) as known from docs0 join hard h on doc_id % n = 0 group by doc_id),
+docs as (
+  select d.*, coalesce(known, []) as known, list_concat(own, coalesce(more, [])) as built from docs0 d left join behind using (doc_id)),
 made as (select *, array_to_string(built, chr(10)) as body, case when built[len(built)] = '' then built[1:len(built) - 1] else built end as lines from docs),
 heads as (
   select id, path, cast(i as int) as line, cast(1 + (i // 5) % 3 as int) as level,
     trim(ltrim(built[i], '#')) as text, case when i % 10 = 1 then 'l' || i end as marker, lines, greatest(1, len(lines)) as total
-  from (select *, unnest(range(1, len(built) + 1)) as i from made) where i % 5 = 1),
-based as (select *, replace(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}} -]', '', 'g'), ' ', '-') as base from heads),
-slugs as (select *, row_number() over (partition by id, base order by line) - 1 as again from based),
+  from (select *, unnest(range(1, len(own) + 1)) as i from made) where i % 5 = 1
+  union all
+  select id, path, cast(len(own) + j as int), cast(known[j].level as int), known[j].text, known[j].marker, lines, greatest(1, len(lines))
+  from (select *, unnest(range(1, len(known) + 1)) as j from made) where known[j].level is not null),
+based as (
+  select *, replace(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}} -]', '', 'g'), ' ', '-') as base, row_number() over (partition by id order by line) as nth from heads),
+-- Slugs in order: a taken one is numbered on, from the last number its own text was given. ``taken`` has every slug so far, ``last`` the numbers.
+slugged(id, nth, slug, taken, last) as (
+  select id, cast(1 as bigint), base, [base], map([base], [cast(0 as bigint)]) from based where nth = 1
+  union all
+  select id, nth, slug, list_append(taken, slug), map_from_entries(list_concat(list_filter(map_entries(last), lambda e: e.key <> base and e.key <> slug), case when slug = base then [{{'key': base, 'value': cast(0 as bigint)}}] else [{{'key': base, 'value': free}}, {{'key': slug, 'value': cast(0 as bigint)}}] end))
+  from (
+    select *, case when free is null then base else base || '-' || free end as slug
+    from (
+      select b.id, b.nth, b.base, s.taken, s.last,
+        case when list_contains(s.taken, b.base) then list_filter(range(s.last[b.base] + 1, s.last[b.base] + len(s.taken) + 2), lambda n: not list_contains(s.taken, b.base || '-' || n))[1] end as free
+      from slugged s join based b on b.id = s.id and b.nth = s.nth + 1))),
+slugs as (select b.*, s.slug from based b join slugged s on s.id = b.id and s.nth = b.nth),
 ends as (select a.id, a.line, min(b.line) - 1 as until from heads a join heads b on a.id = b.id and b.line > a.line and b.level <= a.level group by a.id, a.line),
 secs as (
   select s.id, s.path, cast(row_number() over (partition by s.id order by s.line) - 1 as int) as pos, s.level, s.text, s.marker, s.lines,
-    s.base || case when again > 0 then '-' || again else '' end as slug,
-    coalesce(s.marker, s.base || case when again > 0 then '-' || again else '' end) as anchor,
+    s.slug, coalesce(s.marker, s.slug) as anchor,
     s.line as start, cast(coalesce(e.until, s.total) as int) as "end"
   from slugs s left join ends e on s.id = e.id and s.line = e.line),
 pieces as (
