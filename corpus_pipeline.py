@@ -2,6 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and works on every row that the stage before it kept. The first three drop rows, the
 fourth masks secrets in place, and the last returns where each piece of each remaining text lies in its pack.
+
+Defined results, in every stage but the last with the columns of the documents given, whatever their names and types:
+
+* null, empty and word-less texts are rejected by the classifier, as nothing speaks for them; stages behind it that are given such rows keep them,
+  and packing gives them no place;
+* rows with a null id are judged by their texts alone: none is a copy of another, none has a label, and one with a benchmark passage goes;
+* rows that repeat an id stay until near-dedup, which keeps one of them: the one with the least fingerprint;
+* of documents that are near copies the least id stays; a margin of exactly 0 is accepted; packs of equal fill are taken in order;
+* texts are read whole at any length; very long ones are packed in pieces;
+* without labels of both classes everything with a word is accepted; without benchmark items nothing is dropped for them;
+* a table without rows gives one without rows at every stage.
 """
 
 from __future__ import annotations
