@@ -49,6 +49,18 @@ def test_odd_documents_pass_through_every_stage(spark, docs, none):
         P.STAGES[-1][1](spark, some, SMALL).count()
 
 
+def test_stages_without_labels_and_benchmark(spark, docs, none, tmp_path):
+    for name in ("labels", "benchmark"):
+        table(spark, SMALL, name).where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
+    worded = [r.doc_id for r in docs.collect() if any(c.isalnum() or c in "!?." for c in r.text or "")]
+    for some, n in ((docs, len(worded)), (none, 0)):
+        accepted = P.accept_quality(spark, some, str(tmp_path))
+        assert accepted.columns == some.columns and accepted.count() == n
+        assert P.drop_benchmark(spark, some, str(tmp_path)).count() == some.count()
+        assert P.mask_secrets(spark, some, str(tmp_path)).count() == some.count()
+        assert P.drop_near_copies(spark, some, str(tmp_path)).columns == some.columns
+
+
 def test_registration():
     assert [n for n, _ in P.STAGES] == ["quality classifier", "simhash near-dedup", "benchmark decontamination", "secret scans", "packing"]
     names = set(entry.queries())

@@ -1,9 +1,13 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import quality
+from plumbline.llm import quality, queries
 from plumbline.llm.common import table
 from tests.conftest import SMALL
 
@@ -51,6 +55,63 @@ def test_features(text, n):
     assert len(quality.features(pa.array([text], pa.string()))[0]) == n
 
 
+def plain_margins(texts, labelled):
+    """{text: margin} by hand: tokens by a regular expression, features as sets, counts and weights as dictionaries."""
+    m = (1 << 64) - 1
+
+    def mixed(h):
+        h ^= h >> 33
+        h = h * 0xFF51AFD7ED558CCD & m
+        h ^= h >> 33
+        h = h * 0xC4CEB9FE1A85EC53 & m
+        return h ^ h >> 33
+
+    def word(w):
+        return mixed(sum((c + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(w.encode())) & m)
+
+    def of(text):
+        h = [word(w) for w in re.findall(r"[^\W_]+|(?:[^\w\s]|_)+", text)]
+        pairs = [1 if a == b else (a * 0x9E3779B97F4A7C15 + b) & m for a, b in zip(h, h[1:])]
+        return {x >> 64 - quality.BUCKET_BITS for x in h} | {mixed(p) >> 64 - quality.BUCKET_BITS for p in pairs}
+
+    size = 1 << quality.BUCKET_BITS
+    some = [(sorted(of(t)), y) for t, y in labelled]
+    count = {y: Counter(f for x, k in some if k == y for f in x) for y in (0, 1)}
+    total = {y: sum(count[y].values()) + size for y in (0, 1)}
+    ratio = lambda f: math.log((1 + count[1][f]) / total[1]) - math.log((1 + count[0][f]) / total[0])
+    w, b, alpha = Counter(), 0.0, [0.0] * len(some)
+    rng = np.random.default_rng(7)
+    for _ in range(quality.EPOCHS):
+        moved = 0.0
+        for i in rng.permutation(len(some)):
+            x, y = some[i][0], 1 if some[i][1] else -1
+            gradient = y * (sum(w[f] * ratio(f) for f in x) + b) - 1
+            new = min(max(alpha[i] - gradient / (1 + sum(ratio(f) ** 2 for f in x)), 0.0), quality.COST)
+            step, alpha[i] = new - alpha[i], new
+            for f in x:
+                w[f] += step * y * ratio(f)
+            b += step * y
+            moved = max(moved, abs(step))
+        if moved < 1e-4 * quality.COST:
+            break
+    mean, mixture = sum(map(abs, w.values())) / size, quality.INTERPOLATION
+    return {t: mixture * b + sum(((1 - mixture) * mean + mixture * w[f]) * ratio(f) for f in of(t)) if of(t) else None for t in texts}
+
+
+def test_query_is_the_plain_classifier(spark):
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    labelled = [(texts[r.doc_id], r.quality) for r in labels.orderBy("doc_id").collect() if r.doc_id in texts]
+    want = plain_margins(set(texts.values()), labelled)
+    got = queries.op3_quality_classifier(spark, SMALL).collect()
+    assert len(got) == len(texts) == 200 and len(labelled) > 60
+    for r in got:
+        margin = want[texts[r.doc_id]]
+        assert (r.margin is None) == (margin is None) and (margin is None or r.margin == pytest.approx(margin, abs=2e-6))
+        assert margin is None or abs(margin) < 1e-5 or r.accepted == (margin > 0)
+    assert {r.accepted for r in got} == {True, False}
+
+
 def test_edges(spark, docs, none):
     labels = spark.createDataFrame([(1, 1), (2, 1), (6, 0), (7, 0), (7, 1), (8, None), (None, 1), (99, 0)], "doc_id long, quality int")
     model = quality.train(docs, labels)
