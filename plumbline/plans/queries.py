@@ -13,6 +13,7 @@ from ..lineage import cut, placed
 from ..operators import audit, authority, closure, drift, graph, reconcile
 from ..operators import lattice as L
 from ..sources import documents, links, sinks, snapshot
+from ..sources.config import glob_match
 from ..sources.frontmatter import parsed
 from ..sources.tickets import parse_responses, requests
 from ..writer import rewrite
@@ -252,6 +253,19 @@ def cache_evict(spark, sf_dir):
     return snapshot.evict_stats(known, snapshot.evicted(["gone", *"cdefghi"], "b") + ["a"]).select("path", F.size("stats").alias("kept"))
 
 
+_IGNORED = ("en/*", "**/1*.md", "f?/doc-[2-4]?.md", "de/**/x*")
+
+
+@query(
+    """with p as (select coalesce(lang, 'xx') || '/' || case when doc_id % 3 = 0 then 'deep/' else 'doc-' end || doc_id || '.md' as path from documents where doc_id is not null)
+    select path, regexp_full_match(path, 'en/[^/]+') or regexp_full_match(path, '(.*/)?1[^/]*[.]md') or regexp_full_match(path, 'f[^/]/doc-[2-4][^/][.]md') or regexp_full_match(path, 'de/(.*/)?x[^/]*') as ignored from p"""
+)
+def ignored_paths(spark, sf_dir):
+    name = F.concat(F.coalesce("lang", F.lit("xx")), F.lit("/"), F.when(F.col("doc_id") % 3 == 0, "deep/").otherwise("doc-"), F.col("doc_id").cast("string"), F.lit(".md"))
+    named = table(spark, sf_dir, "documents").where("doc_id is not null").select(name.alias("path"))
+    return named.select("path", glob_match(F.col("path"), _IGNORED).alias("ignored"))
+
+
 @query("select page_id, cast(len(regexp_extract_all(coalesce(html, ''), '(?i)<a\\s[^>]*?href\\s*=\\s*(?:\"[^\"]*\"|''[^'']*'')')) as int) as n_anchors from pages")
 def raw_anchors(spark, sf_dir):
     return links.raw_anchors(table(spark, sf_dir, "pages"), "page_id", "html")

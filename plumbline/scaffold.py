@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import shutil
 import subprocess
 from pathlib import Path
 
@@ -19,13 +20,26 @@ def valid_branch(name: str) -> bool:
 
 
 def default_branch(cwd: Path) -> str:
-    """What the clone says is the remote's default branch, or 'main'."""
-    try:
-        said = subprocess.run(["git", "symbolic-ref", "--short", "refs/remotes/origin/HEAD"], cwd=cwd, capture_output=True, text=True, timeout=5)
-    except (OSError, subprocess.TimeoutExpired):
+    """What the clone says is the remote's default branch, if there is such a branch, or 'main'.
+
+    A program called git that lies in the project, or is found by a relative path, isn't run.
+    """
+    program, lead = shutil.which("git"), "refs/remotes/origin/"
+    if program is None or not Path(program).is_absolute() or any(Path(program).resolve().is_relative_to(d.resolve()) for d in (cwd, Path.cwd())):
+        return "main"
+
+    def ask(*words: str) -> str | None:
+        try:
+            said = subprocess.run([program, *words], cwd=cwd, capture_output=True, text=True, timeout=5)
+        except (OSError, UnicodeDecodeError, subprocess.TimeoutExpired):
+            return None
+        return said.stdout.removesuffix("\n") if said.returncode == 0 else None
+
+    target = ask("symbolic-ref", "--quiet", f"{lead}HEAD")
+    name = (target or "").removeprefix(lead)
+    if not target or not target.startswith(lead) or not valid_branch(name) or ask("show-ref", "--quiet", "--verify", "--", target) is None:
         return "main"
-    name = said.stdout.strip().removeprefix("origin/")
-    return name if said.returncode == 0 and valid_branch(name) else "main"
+    return name
 
 
 def render_config(roots: tuple[str, ...], team: str | None) -> str:

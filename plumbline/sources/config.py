@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import glob
 import re
 import warnings
 from dataclasses import dataclass, field
 from pathlib import Path, PurePath
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..errors import ConfigError
 from . import yaml12
 
@@ -103,6 +107,14 @@ def ignored(path: Path, root: Path, globs: tuple[str, ...]) -> bool:
     return any(relative.full_match(g) for g in globs)
 
 
+def glob_match(path: Column, globs: tuple[str, ...]) -> Column:
+    """Whether a glob matches all of a relative path, as ``ignored`` has it, for names that are rows of a table."""
+    out = F.lit(False)
+    for g in globs:
+        out = out | path.rlike(rf"\A{glob.translate(g, recursive=True, include_hidden=True).replace(chr(92) + 'Z', chr(92) + 'z')}")
+    return out
+
+
 def discover(project: Project) -> list[Path]:
     """All documents, sorted; each target of links once, under the first root's path for it."""
     found: list[Path] = []

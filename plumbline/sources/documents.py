@@ -13,15 +13,25 @@ from ..errors import BY_CODE
 from ..functions.markdown import file_sections
 from ..lineage import cut
 from ..operators import lattice as L
-from .config import Project, discover
+from .config import Project, discover, glob_match
 from .frontmatter import PARSED, parsed
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def scan(spark: SparkSession, *roots: str, glob: str = "*.md") -> DataFrame:
-    """FILES under directories of any file system Spark reads. Contents are read only by queries that use them."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(list(roots))
+def scan(spark: SparkSession, *roots: str, glob: str = "*.md", ignore: tuple[str, ...] = ()) -> DataFrame:
+    """FILES under directories of any file system Spark reads, without those that an ``ignore`` glob names below their root.
+
+    Contents are read only by queries that use them, and not of ignored files.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(list(roots))
+    if not ignore:
+        return found
+    below = F.col("path")
+    for root in sorted(roots, key=len):
+        lead = f"{root.rstrip('/')}/"
+        below = F.when(F.instr("path", lead) > 0, F.substring_index("path", lead, -1)).otherwise(below)
+    return found.where(~glob_match(below, ignore))
 
 
 def read_files(spark: SparkSession, project: Project) -> DataFrame:

@@ -279,6 +279,18 @@ def test_links_of_a_body(body, want):
     assert links.extract(body) == want
 
 
+def test_globs_of_a_table_are_those_of_the_driver(spark, tmp_path):
+    names = ["a.md", "x/a.md", "x/y/a.md", "x/.h/b.md", "x/ab.md", "[1].md", "x/y/c.txt"]
+    for g in ("*.md", "**/*.md", "x/*", "x/**", "**/a.md", "x/?b.md", "x/[!a]*.md", "[[]1].md", "x/.h/*"):
+        some = spark.createDataFrame([(n,) for n in names], "path string").select("path", config.glob_match(F.col("path"), (g,)).alias("m"))
+        assert {r.path for r in some.collect() if r.m} == {n for n in names if config.ignored(tmp_path / n, tmp_path, (g,))}, g
+    for n in ("x/a.md", "x/b.md", "x/y/c.md"):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("t")
+    found = documents.scan(spark, str(tmp_path / "x"), ignore=("a.md", "y/*"))
+    assert [r.path.rsplit("/x/")[1] for r in found.collect()] == ["b.md"]
+
+
 def test_raw_anchors_by_line():
     body = "<a href=x>1</a> <a name=y>\n<!-- <a href=no> -->\n\n`<a href=z>`\n\n<A HREF='u'><a href=v>"
     assert links.anchors(body) == [1, 6, 6]
