@@ -1,6 +1,9 @@
+from functools import cache
+
 import pytest
 
 import __spark_entry__ as entry
+from plumbline.plans import queries
 from plumbline.plans.queries import ORACLE_SQL, QUERIES
 from tests.conftest import SMALL
 from tests.oracle import connect, same_rows
@@ -11,6 +14,15 @@ def con():
     return connect(SMALL)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_lattice(spark):
+    """The lattice is derived once for all queries of this module."""
+    whole = queries.lattice
+    queries.lattice = cache(whole)
+    yield
+    queries.lattice = whole
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_gives_the_rows_of_its_sql(spark, con, name):
     same_rows(QUERIES[name](spark, SMALL), con, ORACLE_SQL[name])
