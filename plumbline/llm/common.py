@@ -2,52 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import lineage
+from ..lineage import cut, ranked
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder all executors share and read back, so that neither lineage nor cost is repeated.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and all tasks run in this process, as in
-    tests, a temporary one is used; on a cluster, whose machines wouldn't share it, that is an error.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", "") or ""
-        if not given and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def ranked(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, rank: str) -> DataFrame:
-    """Adds ``rank``: the row's 0-based place in its group of ``keys``, by ``bucket`` and within it by ``order``.
-
-    A plain window would sort a whole group in one task. Here only rows of one bucket of a group meet in a task; the
-    buckets' sizes, a small table, give the offsets. ``bucket`` must be monotone in the wanted order (or the order between
-    buckets must not matter) and both must be functions of the row alone, so that a task that is run again agrees.
-    """
-    df = df.withColumn("_bucket", bucket)
-    sizes = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    return (
-        df.withColumn("_row", F.row_number().over(within) - 1)
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn(rank, (F.col("_offset") + F.col("_row")).cast("long"))
-        .drop("_bucket", "_row", "_offset")
-    )
-
-
 def running_totals(df: DataFrame, key: str, sums: dict[str, str], width: int = 4096) -> DataFrame:
     """Adds, for each ``total: column`` of ``sums``, the sum of ``column`` over rows whose integer ``key`` is not larger.
 
@@ -94,4 +59,7 @@ BROADCAST_ROWS = 4_000_000
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A cut table of ids, marked for broadcast if it has no more than ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return lineage.small(df, rows)
+
+
+__all__ = ["components", "cut", "ranked", "running_totals", "small", "table", "unused"]
