@@ -168,3 +168,12 @@ def test_an_id_with_several_texts_counts_as_the_one_that_stays(spark):
     ):
         out = N.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
         assert sorted((r.doc_id, r.text) for r in out.collect()) == kept
+
+
+def test_a_word_weighs_more_the_more_often_it_stands():
+    counts = [1, 4095, 4096, 70_000, 300_000]
+    for n in counts:
+        low, high, _ = N.fingerprints(pa.array([" ".join(["often"] * n + ["a", "b", "c"]), "often", "a"]))
+        # Its weight against three words of one occurrence decides every bit as soon as it outweighs them.
+        assert n < 8 or (low[0], high[0]) == (low[1], high[1])
+    assert N._WEIGHT[4095] == round(16 * 12) and len(N._WEIGHT) == 4096
