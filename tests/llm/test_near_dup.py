@@ -111,13 +111,13 @@ def test_links_are_those_of_all_pairs(spark, wide):
     rows = []
     for k in range(14 if wide else 300):
         words = list(base)
-        for at in rng.choice(120, int(rng.integers(0, 25)), replace=False):
+        for at in rng.choice(120, int(rng.integers(0, 9 if wide else 25)), replace=False):
             words[at] = f"e{rng.integers(0, 40)}"
         rows.append((k, " ".join(words)))
     near = all_pairs(rows)
     got = N.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), wide=wide).collect()
     assert {r.doc_id: r.n_links for r in got} == {k: len(near[k]) - 1 for k, _ in rows}
-    assert len({len(x) for x in near}) > (2 if wide else 10)
+    assert len({len(x) for x in near}) > (1 if wide else 10)
 
 
 def test_columns_of_any_type(spark):
