@@ -10,7 +10,8 @@ as drawn by a hash, so that neighbours don't swap places for ever. Rounds go on
 or until documents only chase each other: ``PATIENCE`` rounds without a lesser cut. The shards of the least cut are the result.
 Documents without a link fill the shards up to even sizes.
 
-The driver holds tables of shards by shards and never of documents; each round is cut off, so a lost executor costs one round.
+The driver holds tables of shards by shards and never of documents; each round is cut off, so a lost executor costs one round. A star of
+very many documents is one key of a join, which adaptive execution splits; its votes are added up before they are sent to the hub.
 
 Defined results: null, empty and word-less texts have no links; rows that repeat an id are one document with the links of all;
 each row with a null id is a document without links; no shard has more than ``(1 + SLACK) * n / shards`` documents, rounded up, and as
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession, Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
@@ -38,6 +39,8 @@ PATIENCE = 6
 #: Gains above this are one class when quotas are given; they are still told apart when moves are ranked.
 GAIN_CLASSES = 64
 _RANKED_AT_ONCE = 500_000
+#: Labels, of two numbers each, that are broadcast after they were counted; more are joined by a shuffle, with the same result.
+BROADCAST_LABELS = 1_000_000
 
 
 def min_hashes(texts: pa.Array, hashes: int = HASHES, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +101,7 @@ def quotas(asked: dict[tuple[int, int], np.ndarray], sizes: np.ndarray, cap: int
         back = asked.get(pair[::-1])
         allowed[pair] = even = min(int(asked[pair].sum()), int(back.sum()) if back is not None else 0)
         left = even
-        for gain in range(len(asked[pair]) - 1, -1, -1):
+        for gain in np.flatnonzero(asked[pair])[::-1].tolist():
             n = int(asked[pair][gain])
             swapped = min(n, left)
             left -= swapped
@@ -115,40 +118,68 @@ def _draw(*columns: Column | str) -> Column:
     return F.xxhash64(*columns)
 
 
+def _wishes(edges: DataFrame, labels: DataFrame, step: int, few: bool) -> DataFrame:
+    """(u, from, to, gain, held, drawn): where each document is, where it would go (where it is, if nothing is gained), what it gains, what its own shard holds, and whether it may move in this round.
+
+    ``few`` labels are broadcast, so that edges aren't moved.
+    """
+    sent = F.broadcast if few else lambda df: df
+    votes = edges.join(sent(labels.select(F.col("id").alias("v"), "shard")), "v").groupBy("u", "shard").agg(F.sum("weight").alias("weight"))
+    own = sent(labels.select(F.col("id").alias("u"), F.col("shard").alias("from")))
+    # Of equal weights the shard of the least draw; ~x is least where x is most.
+    best = F.max(F.struct("weight", F.bitwise_not(_draw("u", "shard")).alias("draw"), "shard")).alias("best")
+    most = votes.groupBy("u").agg(best, F.collect_list(F.struct("shard", "weight")).alias("all"))
+    held = F.aggregate(F.filter("all", lambda x: x["shard"] == F.col("from")), F.lit(0).cast("long"), lambda s, x: s + x["weight"])
+    wish = F.col("gain") > 0
+    return (
+        most.join(own, "u")
+        .select("u", "from", F.col("best.shard").alias("to"), (F.col("best.weight") - held).alias("gain"), held.alias("held"))
+        .select("u", "from", F.when(wish, F.col("to")).otherwise(F.col("from")).alias("to"), F.when(wish, F.col("gain")).otherwise(0).alias("gain"), "held", (F.pmod(_draw("u", F.lit(step)), F.lit(2)) == 0).alias("drawn"))
+    )
+
+
+def _moved(state: DataFrame, allowed: dict[tuple[int, int], int], step: int) -> DataFrame:
+    """(id, shard) after the moves that are allowed by pair of shards: those of highest gain, drawn among equals."""
+    rows = np.array([(a, b, n) for (a, b), n in allowed.items()], np.int64)
+    quota = state.sparkSession.createDataFrame(pa.table({"from": rows[:, 0].astype(np.int32), "to": rows[:, 1].astype(np.int32), "quota": rows[:, 2]}))
+    wish = F.col("drawn") & (F.col("gain") > 0)
+    # All others are only passed on, in small parts.
+    part = F.when(wish, 0).otherwise(1 + F.pmod(_draw("u"), F.lit(4096)))
+    place = F.row_number().over(Window.partitionBy("from", "to", "_part").orderBy(F.desc("gain"), _draw("u", F.lit(step)), "u"))
+    placed = state.withColumn("_part", part).withColumn("_place", place).join(F.broadcast(quota), ["from", "to"], "left")  # shards * shards rows
+    return placed.select(F.col("u").alias("id"), F.when(wish & (F.col("_place") <= F.col("quota")), F.col("to")).otherwise(F.col("from")).alias("shard"))
+
+
 def propagate(edges: DataFrame, labels: DataFrame, shards: int, cap: int, rounds: int = ROUNDS) -> DataFrame:
-    """``labels`` (id, shard) when no move over ``edges`` (u, v, weight) is allowed or lessens the cut any more, or after ``rounds`` rounds; no shard above ``cap``."""
-    spark = labels.sparkSession
+    """``labels`` (id, shard) when no move over ``edges`` (u, v, weight) is allowed or lessens the cut any more, or after ``rounds`` rounds; no shard above ``cap``.
+
+    Each id of ``labels`` has an edge. A round is two jobs: wishes are written, and counted by pair of shards and gain.
+    """
+    few = labels.count() <= BROADCAST_LABELS
     best, most_inside, still = labels, -1, 0
     for step in range(rounds):
-        votes = edges.join(labels.select(F.col("id").alias("v"), "shard"), "v").groupBy("u", "shard").agg(F.sum("weight").alias("weight"))
-        own = labels.select(F.col("id").alias("u"), F.col("shard").alias("from"))
-        most = votes.groupBy("u").agg(F.max(F.struct("weight", (-_draw("u", "shard")).alias("draw"), "shard")).alias("best"), F.collect_list(F.struct("shard", "weight")).alias("all"))
-        held = F.aggregate(F.filter("all", lambda x: x["shard"] == F.col("from")), F.lit(0).cast("long"), lambda s, x: s + x["weight"])
-        state = cut(most.join(own, "u").select("u", "from", F.col("best.shard").alias("to"), (F.col("best.weight") - held).alias("gain"), held.alias("held")))
-        inside = state.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+        state = _unsized(cut(_wishes(edges, labels, step, few)))
+        everyone: dict[tuple[int, int], np.ndarray] = {}
+        asked: dict[tuple[int, int], np.ndarray] = {}
+        sizes, inside = np.zeros(shards, np.int64), 0
+        counted = state.groupBy("from", "to", F.least("gain", F.lit(GAIN_CLASSES - 1)).alias("gain"), "drawn").agg(F.count(F.lit(1)).alias("n"), F.sum("held").alias("held"))
+        for r in counted.collect():  # 2 * shards * shards * GAIN_CLASSES at most
+            sizes[r["from"]] += r["n"]
+            inside += r["held"]
+            if r["gain"]:
+                for table in (everyone, asked) if r["drawn"] else (everyone,):
+                    table.setdefault((r["from"], r["to"]), np.zeros(GAIN_CLASSES, np.int64))[r["gain"]] += r["n"]
         if inside > most_inside:
             best, most_inside, still = labels, inside, 0
         else:
             still += 1
             if still == PATIENCE:
                 break
-        drawn = F.pmod(_draw("u", F.lit(step)), F.lit(2)) == 0
-        wish = state.where((F.col("gain") > 0) & (F.col("to") != F.col("from"))).withColumn("drawn", drawn)
-        everyone: dict[tuple[int, int], np.ndarray] = {}
-        asked: dict[tuple[int, int], np.ndarray] = {}
-        for r in wish.groupBy("from", "to", F.least("gain", F.lit(GAIN_CLASSES - 1)).alias("gain"), "drawn").count().collect():  # 2 * shards * shards * GAIN_CLASSES at most
-            for table in (everyone, asked) if r["drawn"] else (everyone,):
-                table.setdefault((r["from"], r["to"]), np.zeros(GAIN_CLASSES, np.int64))[r["gain"]] += r["count"]
-        sizes = _sizes(labels, shards)
         if not quotas(everyone, sizes, cap):
             break
         allowed = quotas(asked, sizes, cap)
-        if not allowed:
-            continue
-        quota = spark.createDataFrame([(a, b, n) for (a, b), n in allowed.items()], "from int, to int, quota long")
-        place = F.row_number().over(Window.partitionBy("from", "to").orderBy(F.desc("gain"), _draw("u", F.lit(step)), "u"))
-        moves = wish.where("drawn").withColumn("_place", place).join(F.broadcast(quota), ["from", "to"]).where("_place <= quota").select(F.col("u").alias("id"), "to")  # shards * shards rows
-        labels = _unsized(cut(labels.join(moves, "id", "left").select("id", F.coalesce("to", "shard").alias("shard"))))
+        if allowed:
+            labels = _moved(state, allowed, step)
     return best
 
 
@@ -184,24 +215,26 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     """(doc_id, shard) of every distinct id and of every row with a null id."""
     if shards < 1:
         raise ValueError("there must be a shard")
-    spark: SparkSession = docs.sparkSession
     ids, edges = document_links(docs, id_col, text_col)
     everyone = cut(ids.where("id is not null").distinct())
     nameless = ids.where("id is null")
     n = everyone.count() + nameless.count()
-    nodes = edges.select(F.col("u").alias("id")).distinct()
+    nodes = cut(edges.select(F.col("u").alias("id")).distinct())
     linked = cut(_spread(nodes, shards))
     cap = -int(-(1 + slack) * n // shards)
-    linked = propagate(edges, linked, shards, cap, rounds)
+    linked = cut(propagate(edges, linked, shards, cap, rounds))
     sizes = _sizes(linked, shards)
     free = fill(sizes, n - int(sizes.sum()))
-    ends = np.cumsum(free)
-    plan = spark.createDataFrame([(s, int(e - f), int(e)) for s, (f, e) in enumerate(zip(free, ends)) if f], "shard int, first long, last long")
     alone = everyone.join(linked.select("id"), "id", "left_anti").select("id", _draw("id").alias("_h")).union(nameless.select("id", F.lit(0).cast("long").alias("_h")))
     buckets = max(1, -(-int(free.sum()) // _RANKED_AT_ONCE))
     place = ranked(alone.withColumn("_all", F.lit(0)), ["_all"], ["_h", F.col("id")], F.pmod("_h", F.lit(buckets)), "_rank")
-    # A row a shard is broadcast.
-    rest = place.join(F.broadcast(plan), (F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("last"))).select("id", "shard")
+    ends = np.cumsum(free)
+
+    def take(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.searchsorted(ends, batch.column(1).to_numpy(), side="right").astype(np.int32))], names=["id", "shard"])
+
+    rest = place.select("id", "_rank").mapInArrow(take, "id long, shard int")
     return linked.union(rest).select(F.col("id").alias("doc_id"), "shard")
 
 

@@ -1,7 +1,10 @@
+import struct
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -74,6 +77,88 @@ def clustered(spark, groups=40, size=12, alone=520):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
+def draw(*values):
+    """Spark's xxhash64 of longs, and of ints behind them."""
+    seed = 42
+    for k, v in enumerate(values):
+        seed = xxhash.xxh64_intdigest(struct.pack("<i" if k else "<q", v), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def by_hand(edges, shard, shards, cap, rounds=S.ROUNDS):
+    """Propagation in plain Python, document by document."""
+    shard, best, most, still = dict(shard), None, -1, 0
+    for step in range(rounds):
+        votes = {u: Counter() for u in shard}
+        for u, v, w in edges:
+            votes[u][shard[v]] += w
+        inside = sum(votes[u][shard[u]] for u in shard)
+        if inside > most:
+            best, most, still = dict(shard), inside, 0
+        else:
+            still += 1
+            if still == S.PATIENCE:
+                break
+        wish = {}
+        for u, held in votes.items():
+            to = min((-w, draw(u, s), s) for s, w in held.items() if w)[2]
+            gain = held[to] - held[shard[u]]
+            if gain > 0:
+                wish[u] = to, gain
+        sizes = np.bincount(list(shard.values()), minlength=shards)
+        asked = [{}, {}]
+        for u, (to, gain) in wish.items():
+            for k in range(1 + (draw(u, step) % 2 == 0)):
+                asked[k].setdefault((shard[u], to), np.zeros(S.GAIN_CLASSES, int))[min(gain, S.GAIN_CLASSES - 1)] += 1
+        if not S.quotas(asked[0], sizes.copy(), cap):
+            break
+        allowed = S.quotas(asked[1], sizes.copy(), cap)
+        moved = {}
+        for (a, b), n in allowed.items():
+            some = sorted((-g, draw(u, step), u) for u, (to, g) in wish.items() if shard[u] == a and to == b and draw(u, step) % 2 == 0)
+            moved |= {u: b for _, _, u in some[:n]}
+        shard |= moved
+    return best
+
+
+def test_draws_are_those_of_spark(spark):
+    got = spark.range(-3, 3).selectExpr("id", "xxhash64(id) a", "xxhash64(id, cast(id + 7 as int)) b").collect()
+    assert all((r.a, r.b) == (draw(r.id), draw(r.id, r.id + 7)) for r in got)
+
+
+@pytest.mark.parametrize("seed,shards,slack,few", [(1, 4, 1.05, 1000), (2, 5, 1.3, 1000), (3, 3, 1.0, 1000), (2, 5, 1.3, 10)])
+def test_propagation_is_the_plain_one(spark, monkeypatch, seed, shards, slack, few):
+    """Whether labels are broadcast or joined by a shuffle."""
+    monkeypatch.setattr(S, "BROADCAST_LABELS", few)
+    rng = np.random.default_rng(seed)
+    pairs = {tuple(sorted(map(int, rng.choice(90, 2, replace=False)))) for _ in range(60)} | {(k // 9 * 9, k) for k in range(90) if k % 9}
+    edges = [e for u, v in sorted(pairs) for w in [int(rng.integers(1, 80))] for e in ((u, v, w), (v, u, w))]
+    nodes = sorted({u for u, _, _ in edges})
+    start = {u: i % shards for i, u in enumerate(nodes)}
+    cap = -int(-slack * len(nodes) // shards)
+    got = S.propagate(spark.createDataFrame(edges, "u long, v long, weight long"), spark.createDataFrame(list(start.items()), "id long, shard int"), shards, cap)
+    assert {r.id: r.shard for r in got.collect()} == by_hand(edges, start, shards, cap)
+
+
+def test_links_are_stars_of_shared_hashes(spark):
+    docs = table(spark, SMALL, "documents")
+    rows = docs.select("doc_id", "text").collect()
+    values, has = S.min_hashes(pa.array([r.text for r in rows], pa.string()))
+    of = {r.doc_id: v for r, v in zip([r for r, h in zip(rows, has) if h], values.tolist())}
+    groups = {}
+    for i, v in of.items():
+        for k, x in enumerate(v):
+            groups.setdefault((k, x), set()).add(i)
+    want = Counter()
+    for ids in groups.values():
+        for i in ids - {min(ids)}:
+            want[i, min(ids)] += 1
+            want[min(ids), i] += 1
+    ids, edges = S.document_links(docs)
+    assert {(r.u, r.v): r.weight for r in edges.collect()} == want and want
+    assert sorted(r.id for r in ids.collect()) == sorted(r.doc_id for r in rows)
+
+
 def test_linked_documents_come_together_and_sizes_stay_even(spark):
     docs = clustered(spark)
     shards = S.sharded(docs, shards=8)
@@ -104,11 +189,11 @@ def test_query_and_edges(spark, docs, none):
     assert S.sharded(none).count() == 0 and {r.shard for r in S.sharded(docs, shards=1).collect()} == {0}
 
 
-def test_propagation_goes_on_while_the_cut_gets_less(spark):
+def test_propagation_goes_on_while_the_cut_gets_less():
     rng = np.random.default_rng(11)
     pairs = {(i, i + 1) for i in range(599)} | {tuple(sorted(map(int, rng.choice(np.arange(g, g + 20), 2, replace=False)))) for g in range(0, 600, 20) for _ in range(40)}
-    edges = spark.createDataFrame([e for u, v in sorted(pairs) for e in ((u, v, 1), (v, u, 1))], "u long, v long, weight long").cache()
-    start = spark.range(600).selectExpr("id", "cast(id % 8 as int) as shard")
-    whole, early = (S.propagate(edges, start, 8, 79, *rounds).withColumnRenamed("id", "doc_id") for rounds in ((), (8,)))
-    assert max(Counter(r.shard for r in whole.collect()).values()) <= 79
-    assert S.cut_weight(edges, whole).first().cut < S.cut_weight(edges, early).first().cut
+    edges = [e for u, v in sorted(pairs) for e in ((u, v, 1), (v, u, 1))]
+    start = {i: i % 8 for i in range(600)}
+    cut = lambda shard: sum(w for u, v, w in edges if shard[u] != shard[v])
+    whole, early = by_hand(edges, start, 8, 79), by_hand(edges, start, 8, 79, 8)
+    assert max(Counter(whole.values()).values()) <= 79 and cut(whole) < cut(early) < cut(start)
