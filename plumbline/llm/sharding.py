@@ -142,12 +142,12 @@ def _moved(state: DataFrame, allowed: dict[tuple[int, int], int], step: int) ->
     """(id, shard) after the moves that are allowed by pair of shards: those of highest gain, drawn among equals."""
     rows = np.array([(a, b, n) for (a, b), n in allowed.items()], np.int64)
     quota = state.sparkSession.createDataFrame(pa.table({"from": rows[:, 0].astype(np.int32), "to": rows[:, 1].astype(np.int32), "quota": rows[:, 2]}))
-    wish = F.col("drawn") & (F.col("gain") > 0)
-    # All others are only passed on, in small parts.
-    part = F.when(wish, 0).otherwise(1 + F.pmod(_draw("u"), F.lit(4096)))
-    place = F.row_number().over(Window.partitionBy("from", "to", "_part").orderBy(F.desc("gain"), _draw("u", F.lit(step)), "u"))
-    placed = state.withColumn("_part", part).withColumn("_place", place).join(F.broadcast(quota), ["from", "to"], "left")  # shards * shards rows
-    return placed.select(F.col("u").alias("id"), F.when(wish & (F.col("_place") <= F.col("quota")), F.col("to")).otherwise(F.col("from")).alias("shard"))
+    place = F.row_number().over(Window.partitionBy("from", "to").orderBy(F.desc("gain"), _draw("u", F.lit(step)), "u"))
+    wish = state.where(F.col("drawn") & (F.col("gain") > 0)).withColumn("_place", place).join(F.broadcast(quota), ["from", "to"])  # shards * shards rows
+    moves = wish.where(F.col("_place") <= F.col("quota")).select(F.col("u").alias("id"), F.col("to"))
+    if sum(allowed.values()) <= BROADCAST_LABELS:  # as many as there are
+        moves = F.broadcast(moves)
+    return state.select(F.col("u").alias("id"), F.col("from").alias("shard")).join(moves, "id", "left").select("id", F.coalesce("to", "shard").alias("shard"))
 
 
 def propagate(edges: DataFrame, labels: DataFrame, shards: int, cap: int, rounds: int = ROUNDS) -> DataFrame:
