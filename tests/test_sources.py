@@ -3,10 +3,12 @@ import time
 import warnings
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.errors import ConfigError, FrontmatterError, TicketError, UnreadableDocument
+from plumbline.functions.batches import MOST
 from plumbline.functions.markdown import file_sections
 from plumbline.operators import drift
 from plumbline.sources import config, documents, links, snapshot, tickets, yaml12
@@ -318,3 +320,21 @@ def test_parsing_moves_no_rows(spark):
     files = spark.createDataFrame([("x.md", b"---\nid: x\n---\n"), ("y.md", None)], "path string, content binary")
     assert {r.path: r.disposition for r in parsed(files).collect()} == {"x.md": "tracked", "y.md": "untracked"}
     assert "Exchange" not in parsed(files)._jdf.queryExecution().executedPlan().toString()
+
+
+class Batches:
+    """Stands for a DataFrame; gives the function that Python's batches go through."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, f, _):
+        return f
+
+
+def test_a_large_batch_of_files_is_parsed_in_parts():
+    some = pa.RecordBatch.from_pydict({"path": [f"{k}.md" for k in range(40)], "content": [b"---\nid: a\n---\n" + b"x" * (1 << 18), None] * 20})
+    made = list(parsed(Batches())(iter([some, some.slice(0, 0)])))
+    assert len(made) > 2 and max(b.nbytes for b in made) < 2 * MOST
+    assert [p for b in made for p in b.column(0).to_pylist()] == some.column(0).to_pylist()
+    assert [d for b in made for d in b.column(1).to_pylist()] == ["tracked", "untracked"] * 20
