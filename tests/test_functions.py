@@ -2,11 +2,14 @@ import hashlib
 import random
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from plumbline.functions import batches
 from plumbline.functions import markdown as M
 from plumbline.functions import text as T
 
@@ -108,3 +111,22 @@ def test_column_functions_pass_nulls_on(spark):
 @pytest.mark.parametrize("text,label", [(None, "id"), ("", "id"), ("t", "t")])
 def test_label(spark, text, label):
     assert spark.createDataFrame([(text, "id")], "t string, i string").select(T.label("t", "i")).first()[0] == label
+
+
+def test_parts_are_all_rows_in_order_and_small():
+    sizes = np.array([0, 10, 5_000, 0, 0, 70, 1_000_000, 3] * 50)
+    found = list(batches.parts(sizes, 4_096))
+    assert [i for a, b in found for i in range(a, b)] == list(range(len(sizes)))
+    assert all(b == a + 1 or (sizes[a:b] + batches.ROW).sum() <= 4_096 for a, b in found)
+    assert list(batches.parts(np.zeros(0, np.int64))) == []
+
+
+def test_sections_come_in_parts_whatever_a_batch_holds(monkeypatch):
+    docs = [[{"line": 1, "text": "# a"}, {"line": 3, "text": "## b {#c}"}], [], None, [{"line": 2, "text": "# d" * 200}]] * 5
+    kind = pa.list_(pa.struct([("line", pa.int32()), ("text", pa.string())]))
+    lines, total = pa.array(docs, kind), pa.array([4, 1, None, 2] * 5, pa.int32())
+    whole = [M.sections(M.scan_headings([(x["line"], x["text"]) for x in d or []]), n or 1) for d, n in zip(docs, total.to_pylist())]
+    monkeypatch.setattr(batches, "MOST", 1_000)
+    made = list(M._sections_of(iter([(lines[3:], total[3:]), (lines[:3], total[:3])])))
+    assert len(made) > 5 and max(map(len, made)) < 8
+    assert [x for part in made for x in part.to_pylist()] == whole[3:] + whole[:3]
