@@ -21,41 +21,55 @@ def expand(lattice: Lattice, token: str) -> DataFrame:
     return within.union(around).distinct()
 
 
+def _behind(pairs: DataFrame, to: str, ahead: DataFrame) -> DataFrame | None:
+    """(id) once each of ``pairs`` (``to``, id) that lead to the cut table ``ahead`` (id); None if that is empty.
+
+    Only edges between the least and the greatest id ahead can match, and the others are dropped where they are read: a round over
+    ids of one kind ("order-1") shuffles only edges to that kind, and one over ids that nothing refers to hardly any.
+    """
+    n, least, most = ahead.agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
+    if not n:
+        return None
+    near = pairs.where(F.col(to).between(F.lit(least), F.lit(most)))
+    return near.join(small(ahead.select(F.col("id").alias(to))), to, "left_semi").select("id").distinct()
+
+
 def _steps(pairs: DataFrame, first: DataFrame, max_depth: int | None) -> DataFrame:
-    """(id, depth): ``first`` (id) at depth 1, then sources of edges to what was found. ``pairs``: (to_file, id), no row twice.
+    """(id, depth): ``first`` (id) at depth 1, then sources of edges to what was found. ``pairs``: (to_file, id).
 
-    A round costs its frontier: new ids, broadcast if they are few, are joined with the edges, and what is known already is taken
-    out by an anti-join. Each round is written, so that a lost executor costs one.
+    A round reads the edges and shuffles those near its frontier: new ids, broadcast if they are few, are joined with them, and what
+    is known already is taken out by an anti-join. Each round is written, so that a lost executor costs one.
     """
-    frontier = cut(first.distinct().select("id", F.lit(1).alias("depth")))
+    frontier = cut(first.select("id", F.lit(1).alias("depth")))
     found, depth = frontier, 1
-    while max_depth is None or depth < max_depth:
-        ahead = small(frontier.select(F.col("id").alias("to_file")))
-        if frontier.isEmpty():
-            break
+    while (max_depth is None or depth < max_depth) and (reached := _behind(pairs, "to_file", frontier)) is not None:
         depth += 1
-        reached = pairs.join(ahead, "to_file", "left_semi").select("id").distinct()
         frontier = cut(reached.join(found.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth")))
         found = found.union(frontier)
     return found
 
 
-def impact_ids(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+#: Walks of more steps than this have their edges written once, as (file, id), before they begin.
+FEW_STEPS = 3
+
+
+def impact_ids(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, keep: bool = False) -> DataFrame:
     """(id, depth) downstream of the targets ``seeds`` (target_key), over ``edges`` (source_id, target_key).
 
-    After the first step the walk is between files: a file that is reached changes as a whole.
+    After the first step the walk is between files: a file that is reached changes as a whole. Edges are read anew for every step;
+    for long walks they can be kept as they are needed (``keep``), which costs their size on disk.
     """
-    if max_depth is not None and max_depth < 1:
+    whole = edges.where("target_key is not null").select("target_key", F.col("source_id").alias("id"))
+    first = None if max_depth is not None and max_depth < 1 else _behind(whole, "target_key", cut(seeds.select(F.col("target_key").alias("id")).distinct()))
+    if first is None:
         return edges.sparkSession.createDataFrame([], "id string, depth int")
-    whole = edges.where("target_key is not null")
-    first = whole.join(seeds.select("target_key"), "target_key", "left_semi").select(F.col("source_id").alias("id"))
-    pairs = cut(whole.select(ref_file("target_key").alias("to_file"), F.col("source_id").alias("id")).distinct())
-    return _steps(pairs, first, max_depth)
+    pairs = whole.select(ref_file("target_key").alias("to_file"), "id")
+    return _steps(cut(pairs) if keep and (max_depth is None or max_depth > FEW_STEPS) else pairs, first, max_depth)
 
 
 def impact(lattice: Lattice, token: str, max_depth: int | None = None) -> DataFrame:
     """(id, title, path, tickets, depth) of every affected node. Raises ``ValidationError`` for an unknown token."""
     if lattice.targets.where(F.col("target_key") == token).isEmpty():
         raise ValidationError(f"unknown id {token!r}")
-    reached = impact_ids(lattice.edges, expand(lattice, token), max_depth)
+    reached = impact_ids(lattice.edges, expand(lattice, token), max_depth, keep=True)
     return lattice.nodes.join(reached, "id").select("id", "title", "path", "tickets", "depth")
