@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Every Unicode white space character except the line feed.
 BLANK = r"\t\x0B\f\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The same as characters.
+_BLANKS = "\t\x0b\f\r" + "".join(map(chr, [*range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _NAME = r"[A-Za-z0-9][A-Za-z0-9_\-]*"
 _MARKER = rf"(?:\A|[{BLANK}\n]+)\{{#({_NAME})\}}(?:[{BLANK}\n]*\z|[{BLANK}\n]+(?=#+[{BLANK}\n]*\z))"
 _CONTROL = r"[\x00-\x1F\x7F-\x9F]"
@@ -26,7 +28,7 @@ def _c(x: Column | str) -> Column:
 
 def normalize_newlines(x: Column | str) -> Column:
     """CRLF and lone CR become LF."""
-    return F.regexp_replace(_c(x), "\r\n?", "\n")
+    return F.when(F.instr(_c(x), "\r") > 0, F.regexp_replace(_c(x), "\r\n?", "\n")).otherwise(_c(x))
 
 
 def canonicalize(x: Column | str) -> Column:
@@ -37,7 +39,21 @@ def canonicalize(x: Column | str) -> Column:
 
 def content_hash(x: Column | str) -> Column:
     """The first 32 hex digits of the SHA-256 of the canonical text."""
-    return F.substring(F.sha2(canonicalize(x).cast("binary"), 256), 1, 32)
+    return _hashed(canonicalize(x))
+
+
+def _hashed(canonical: Column) -> Column:
+    return F.substring(F.sha2(canonical.cast("binary"), 256), 1, 32)
+
+
+def trimmed_lines(lines: Column) -> Column:
+    """Lines without trailing white space; what follows has then no need of patterns. For texts without CR."""
+    return F.transform(lines, lambda x: F.rtrim(x, F.lit(_BLANKS)))
+
+
+def trimmed_hash(lines: Column) -> Column:
+    """``content_hash`` of ``trimmed_lines`` put together."""
+    return _hashed(F.btrim(F.array_join(lines, "\n"), F.lit("\n")))
 
 
 def body_lines(x: Column | str) -> Column:
@@ -52,15 +68,20 @@ def line_count(x: Column | str) -> Column:
 
 def strip_heading_marker(x: Column | str) -> Column:
     """A heading's source line without its trailing ``{#name}``; a closing ``##`` stays."""
-    return F.regexp_replace(F.regexp_replace(_c(x), _MARKER, " "), rf"[{BLANK}\n]+\z", "")
+    unmarked = F.when(F.instr(_c(x), "{#") > 0, F.regexp_replace(_c(x), _MARKER, " ")).otherwise(_c(x))
+    return F.rtrim(unmarked, F.lit(_BLANKS + "\n"))
 
 
-def section_text(lines: Column, start: Column, end: Column) -> Column:
-    """Lines ``start`` to ``end`` (from 1, inclusive), the marker taken out of the first. Nothing if ``end`` is before ``start``."""
+def section_lines(lines: Column, start: Column, end: Column) -> Column:
+    """Lines ``start`` to ``end`` (from 1, inclusive), the marker taken out of the first. None if ``end`` is before ``start``."""
     some = F.slice(lines, start, F.greatest(F.lit(0), end - start + 1))
     first = F.transform(F.slice(some, F.lit(1), F.lit(1)), strip_heading_marker)
     rest = F.slice(some, F.lit(2), F.greatest(F.lit(0), F.size(some) - 1))
-    return F.array_join(F.concat(first, rest), "\n")
+    return F.concat(first, rest)
+
+
+def section_text(lines: Column, start: Column, end: Column) -> Column:
+    return F.array_join(section_lines(lines, start, end), "\n")
 
 
 def ref_file(ref: Column | str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import DuplicateId
 from ..functions.markdown import SECTION, file_sections
-from ..functions.text import body_lines, content_hash, line_count, make_ref, section_text
+from ..functions.text import body_lines, content_hash, make_ref, section_lines, section_text, trimmed_hash, trimmed_lines
 from ..lineage import cut
 
 NODES = "id string, title string, layer string, authority string, path string, body string, tickets array<string>"
@@ -45,7 +45,7 @@ def file_targets(nodes: DataFrame) -> DataFrame:
     """All targets of all nodes, with content hashes; a narrow transformation."""
     body = F.coalesce("body", F.lit(""))
 
-    def of(lines):
+    def of(lines, section_hash, body_hash):
         hashed = F.transform(
             "sections",
             lambda s: F.struct(
@@ -54,7 +54,7 @@ def file_targets(nodes: DataFrame) -> DataFrame:
                 F.lit("section").alias("kind"),
                 s["start"].alias("start"),
                 s["end"].alias("end"),
-                content_hash(section_text(lines, s["start"], s["end"])).alias("hash"),
+                section_hash(lines, s["start"], s["end"]).alias("hash"),
                 F.transform(s["ancestors"], lambda a: make_ref(F.col("id"), a)).alias("ancestors"),
             ),
         )
@@ -63,14 +63,18 @@ def file_targets(nodes: DataFrame) -> DataFrame:
             F.lit(None).cast("string").alias("anchor"),
             F.lit("file").alias("kind"),
             F.lit(1).alias("start"),
-            line_count(body).alias("end"),
-            content_hash(body).alias("hash"),
+            F.greatest(F.lit(1), F.size(lines)).alias("end"),
+            body_hash(lines).alias("hash"),
             F.array().cast("array<string>").alias("ancestors"),
         )
         return F.concat(F.array(whole), hashed)
 
-    # The lines are an array's only element, so that they are split once and not for every section.
-    found = F.get(F.transform(F.array(body_lines(body)), of), F.lit(0))
+    # The lines are an array's only element, so that they are split and trimmed once and not for every section. Lines with CR in them
+    # become several when they are hashed, and go the long way.
+    plain = lambda lines: of(lines, lambda *at: trimmed_hash(section_lines(*at)), trimmed_hash)
+    odd = lambda lines: of(lines, lambda *at: content_hash(section_text(*at)), lambda _: content_hash(body))
+    once = lambda lines, f: F.get(F.transform(F.array(lines), f), F.lit(0))
+    found = F.when(F.instr(body, "\r") > 0, once(body_lines(body), odd)).otherwise(once(trimmed_lines(body_lines(body)), plain))
     exploded = with_sections(nodes).select(F.col("id").alias("file_id"), "path", F.explode(found).alias("t"))
     return exploded.select("t.target_key", "file_id", "t.anchor", "t.kind", "t.start", "t.end", "path", "t.hash", "t.ancestors")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import batches
 from plumbline.functions import markdown as M
 from plumbline.functions import text as T
+from plumbline.operators import lattice
 
 WHITE = [chr(c) for c in range(0x3100) if chr(c).isspace()]
 
@@ -130,3 +131,20 @@ def test_sections_come_in_parts_whatever_a_batch_holds(monkeypatch):
     made = list(M._sections_of(iter([(lines[3:], total[3:]), (lines[:3], total[:3])])))
     assert len(made) > 5 and max(map(len, made)) < 8
     assert [x for part in made for x in part.to_pylist()] == whole[3:] + whole[:3]
+
+
+def test_hashes_of_lines_trimmed_once_are_those_of_each_text(spark):
+    r = random.Random(7)
+    pieces = ["a", "é", "\n", "\n", "\n# ", "\n## x {#m}", " {#n} ##", " ", "\t", "\u2003", "\x85", "\xa0", "{#", "\0"]
+    bodies = ["", "\n", "# a {#b} \t\n\n", " \n# a\u3000\n", None] + ["".join(r.choices(pieces + ["\r", "\r\n"] * (k % 3 == 0), k=30)) for k in range(200)]
+    df = lattice.with_sections(spark.createDataFrame([(str(k), None, None, None, "p", b, []) for k, b in enumerate(bodies)], lattice.NODES))
+    text = F.coalesce("body", F.lit(""))
+    each = F.transform("sections", lambda s: T.content_hash(T.section_text(T.body_lines(text), s["start"], s["end"])))
+    want = {x.id: [x.whole, *x.each] for x in df.select("id", T.content_hash(text).alias("whole"), each.alias("each")).collect()}
+    got: dict = {}
+    for x in lattice.file_targets(df).orderBy("file_id", F.col("kind") != "file").select("file_id", "hash").collect():
+        got.setdefault(x.file_id, []).append(x.hash)
+    assert {k: (v[0], sorted(v[1:])) for k, v in got.items()} == {k: (v[0], sorted(v[1:])) for k, v in want.items()}
+    assert sum(map(len, got.values())) > 400
+    plan = lattice.file_targets(df)._jdf.queryExecution().analyzed().toString()
+    assert "rtrim" in plan.lower()
