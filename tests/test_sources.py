@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pytest
+import yaml
 from pyspark.sql import functions as F
 
 from plumbline.errors import ConfigError, FrontmatterError, TicketError, UnreadableDocument
@@ -338,3 +339,16 @@ def test_a_large_batch_of_files_is_parsed_in_parts():
     assert len(made) > 2 and max(b.nbytes for b in made) < 2 * MOST
     assert [p for b in made for p in b.column(0).to_pylist()] == some.column(0).to_pylist()
     assert [d for b in made for d in b.column(1).to_pylist()] == ["tracked", "untracked"] * 20
+
+
+@pytest.mark.parametrize("text", ["", "a: on\nb: [1, {c: &x 2}]\nd: *x\n", "a: &x 1\nb: &x 2\nc: *x\n", "%YAML 1.1\n---\na: on\n", "a: 1\na: 2\n", "a: *ghost\n", "a: 1\n---\nb: 2\n", "- !!omap [{a: 1}]\n"])
+def test_events_load_as_their_text_does(text):
+    loader = yaml12.loader_for(text)
+    replayed = lambda: yaml12.load_events(list(yaml.parse(text, Loader=loader)), loader)
+    try:
+        want = yaml12.load(text)[0]
+    except yaml12.LOAD_ERRORS as error:
+        with pytest.raises(type(error)):
+            replayed()
+    else:
+        assert replayed() == want
